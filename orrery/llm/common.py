@@ -135,10 +135,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int):
         if b - a >= words:
             yield np.unique(full[a : b - words + 1])
         elif b > a:
-            x = _U(b - a)
+            x = np.array([b - a], dtype=_U)
             for j in range(a, b):
-                x = mix(h[j : j + 1] + x * _POWERS[1])[0]
-            yield np.array([x], dtype=_U)
+                x = mix(h[j : j + 1] + x * _POWERS[1])
+            yield x
         else:
             yield np.zeros(0, _U)
 
