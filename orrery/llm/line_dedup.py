@@ -6,8 +6,8 @@ after it (lines mostly of characters of three bytes, as Chinese, take every char
 region's start on are one band (one-permutation MinHash; an empty region has no band). At a similarity of
 0.8 a band agrees with probability 0.5, some band of eight with 0.997.
 
-Lines that share a band are candidates, in two rounds as in the n-gram join: with the least line of the
-bucket, then all pairs of a bucket that aren't connected yet. Candidates are verified by the exact
+Lines that share a band are candidates, in two rounds as in the n-gram join: with the most central line
+of the bucket, then all pairs of a bucket that aren't connected yet. Candidates are verified by the exact
 Jaccard similarity of their shingle sets; links become components by distributed union-find; the least
 (doc_id, position) of a component keeps its line.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bridges, components, discard, saved, table
+from orrery.llm.common import bridges, components, discard, leads, saved, table
 
 REGIONS, ROWS = 8, 3
 #: Ids of which a copy may be sent to every executor (8 bytes each); beyond it the join shuffles.
@@ -76,9 +76,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, min_ch
         return out
 
     close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    lead = live.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"))
-    first = live.join(lead, "key").where("id <> lead.id").select(F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    links = verified(first.where(close).distinct())
+    first = leads(live)
+    links = verified(first.where(close).drop("shared"))
     parts = components(links)
     more = bridges(live, parts)
     links = links.unionByName(verified(more.where(close).select("a", "na", "b", "nb").distinct()))

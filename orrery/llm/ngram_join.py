@@ -6,7 +6,7 @@
    come last in the global order, all others before them by hash. The order decides speed only.
 3. A linked pair shares an n-gram among the first n - ceil(t*n) + 1 of both sets (prefix filter). Those
    postings, kept where two classes share them, give candidates in two rounds: first every class with the
-   least class of its key and length band; then, exhaustively, all pairs that share a key but are not
+   most central class of its key and length band; then, exhaustively, all pairs that share a key but are not
    connected yet. Links inside a component would not change it and are not looked for.
 4. Candidates are verified exactly: the order is cut into fragments, the overlap of a pair is counted in
    each fragment by itself, and the counts are summed per pair.
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bounded_batches, bridges, byte_slices, components, discard, mix, saved, shingle_sets, utf8
+from orrery.llm.common import bounded_batches, bridges, byte_slices, components, discard, leads, mix, saved, shingle_sets, utf8
 
 #: Entries of the list of frequent n-grams (16 bytes each), whatever the corpus.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
 #: The rare part of the order is cut into this many fragments; the frequent n-grams are one more.
 RARE_FRAGMENTS = 7
 #: Slots of the map of documents to verify.
@@ -188,10 +188,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         return links
 
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
-    banded = live.withColumn("band", band)
-    lead = banded.groupBy("key", "band").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("hi")).where("lead.id <> hi")
-    first = banded.join(lead, ["key", "band"]).where("id <> lead.id").select(F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    first = first.groupBy("a", "na", "b", "nb").count().where(F.col("count") >= 0.3 * prefix(F.least("na", "nb"))).drop("count")
+    first = leads(live, band).where(F.col("shared") >= 0.3 * prefix(F.least("na", "nb"))).drop("shared")
     links = [verified(first)]
     parts = components(links[0])
 

@@ -1,6 +1,6 @@
 """The corpus operators' queries, a whole table each, and their SQL where SQL can express them."""
 
-from orrery.llm import bpe, fingerprint, line_dedup, mixing, ngram_join, quality, sharding, warc
+from orrery.llm import bpe, fingerprint, licenses, line_dedup, mixing, ngram_join, quality, sharding, warc, webp
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op4_hilbert_shards": sharding.query,
         "op5_curriculum_mix": mixing.query,
         "op6_fuzzy_line_dedup": line_dedup.query,
+        "op7_lossless_webp": webp.query,
+        "op8_license_scan": licenses.query,
         "op9_multiset_fingerprints": fingerprint.query,
         "op10_byte_level_bpe": bpe.query,
         "pipeline": pipeline,
