@@ -110,7 +110,9 @@ def _read_code(b: Bits, alphabet: int) -> Code:
     lengths = [0] * alphabet
     if b.read(1):
         two, wide = b.read(1), b.read(1)
-        symbols = [b.read(8 if wide else 1)] + [b.read(8)] * two
+        symbols = [b.read(8 if wide else 1)]
+        if two:
+            symbols.append(b.read(8))
         for s in symbols:
             if s >= alphabet:
                 raise ValueError("a symbol is not in its alphabet")
