@@ -43,7 +43,8 @@ class Metric(IntEnum):
 
 
 def vector_literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A query in single precision, as stored vectors are."""
+    return F.array(*[F.lit(float(np.float32(v))) for v in values])
 
 
 def _col(v) -> Column:

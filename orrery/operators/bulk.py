@@ -81,7 +81,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: Metric) -> Dat
     out = None
     for i in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        got = block.select(F.col("query_id").cast("bigint"), "vector").toArrow()
+        got = block.select(F.col("query_id").cast("bigint"), F.col("vector").cast("array<float>")).toArrow()
         pairs = base.select(F.col("id").cast("bigint"), "vector").mapInArrow(_best(metric, sc.broadcast(got.column(0).to_numpy()), sc.broadcast(matrix(got.column(1))), k), "query_id bigint, id bigint, distance double")
         out = ranked(pairs, k) if out is None else out.unionByName(ranked(pairs, k))
     return out
@@ -91,7 +91,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: Metric) -> Dat
 
 def bulk_distances(base: DataFrame, query, metric: Metric) -> DataFrame:
     """(id, distance) of one query to every row, by Arrow batches."""
-    q = np.asarray(query, float)
+    q = np.asarray(query, np.float32).astype(float)
     schema = pa.schema([("id", pa.int64()), ("distance", pa.float64())])
 
     def run(batches):

@@ -153,7 +153,7 @@ class ProximityGraph:
         """Up to k (id, distance), measured again in index order."""
         if self.entry < 0:
             return []
-        q = np.asarray(query, float)
+        q = np.asarray(query, np.float32).astype(float)
         at, near = self._descend(q, self.entry, float(self._to(q, [self.entry])[0]), self.top, 0)
         nodes = [x for _, x in self._beam(q, at, near, max(ef, k), 0)]
         exact = distances(self.c.metric, q, self.vectors[nodes])

@@ -36,7 +36,7 @@ def test_hand_values_by_sql_and_numpy(spark):
     row = spark.range(1).select(*[M.distance(m, M.vector_literal(a), M.vector_literal(b)) for m, a, b, _ in VALUES], M.inner_product(M.vector_literal([1, 2, 3, 4]), M.vector_literal([1, 2, 3, 5]))).first()
     for (m, a, b, want), got in zip(VALUES, row, strict=False):
         assert got == pytest.approx(want, abs=1e-6)
-        assert M.distances(m, np.array(a, float), np.array([b], float))[0] == got
+        assert M.distances(m, np.array(a, np.float32), np.array([b], np.float32))[0] == got
     assert row[-1] == 34 and math.copysign(1, row[10]) == 1
 
 
