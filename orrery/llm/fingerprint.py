@@ -18,36 +18,43 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import saved, table
 
-EXACT, LANES = 8, 128
+EXACT, LANES = 8, 64
 _MOD = 1 << 32
-#: Ranges of ids at most; with more rows they hold more each.
-MOST_RANGES = 1000
+#: Quantiles at which ids are cut; with more ranges than these, they are cut evenly in between.
+MOST_CUTS = 500
 #: Each long holds the bits j and j + 32 of a pair's hash.
 _PAIRED = (1 << 32) | 1
 
 
-def paragraph_vectors(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, e0.., l0.., pairs): the summed vectors of the paragraphs of each row of texts; null is empty."""
-    lines = texts.select(*keys, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("p"))
+def paragraph_vectors(texts: DataFrame, keys: list[str], text: str = "text", also: tuple | list = ()) -> DataFrame:
+    """(keys, also, e0.., l0.., pairs): the summed vectors of the paragraphs of each row of texts; null is empty.
+
+    Rows of the same keys are the same text; of the other columns one value is carried along.
+    """
+    whole_text = [*keys, *also]
+    lines = texts.select(*whole_text, F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("p"))
     words = F.transform(F.split("p", " "), lambda w: F.xxhash64(w))
-    lines = lines.select(*keys, F.xxhash64("p").alias("h"), words.alias("w"))
+    lines = lines.select(*whole_text, F.xxhash64("p").alias("h"), words.alias("w"))
     pairs = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.slice("w", 1, F.size("w") - 1)), "w", lambda a, b: F.shiftleft(a, 1).bitwiseXOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b))
-    units = lines.select(*keys, F.posexplode(F.concat(F.array("h"), pairs)).alias("i", "u")).withColumn("v", F.xxhash64("u", F.lit(1)))
+    units = lines.select(*whole_text, F.posexplode(F.concat(F.array("h"), pairs)).alias("i", "u")).withColumn("v", F.xxhash64("u", F.lit(1)))
     whole = F.col("i") == 0
     exact = [F.sum(F.when(whole, F.xxhash64("u", F.lit(10 + j)).bitwiseAND(F.lit(_MOD - 1))).otherwise(F.lit(0).cast("long"))) for j in range(EXACT // 2)]
-    lanes = [F.sum(F.when(whole, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(c, j).bitwiseAND(F.lit(_PAIRED)))) for c in ("u2", "v") for j in range(32)]
-    units = units.withColumn("u2", F.xxhash64("u"))
+    lanes = [F.sum(F.when(whole, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(c, j).bitwiseAND(F.lit(_PAIRED)))) for c in ("v",) for j in range(32)]
     more = [F.sum(F.when(whole, F.shiftrightunsigned(F.xxhash64("u", F.lit(10 + j)), 32)).otherwise(F.lit(0).cast("long"))) for j in range(EXACT // 2)]
     sums = [x.alias(f"e{i}") for i, x in enumerate([*exact, *more])] + [x.alias(f"l{i}") for i, x in enumerate(lanes)]
-    return units.groupBy(*keys).agg(*sums, F.sum(F.when(whole, 0).otherwise(1)).alias("pairs"))
+    return units.groupBy(*keys, *also).agg(*sums, F.sum(F.when(whole, 0).otherwise(1)).alias("pairs"))
+
+
+def _print(v: str) -> Column:
+    """The hexadecimal fingerprint of a struct of summed components."""
+    exact = [F.lpad(F.hex(F.col(f"{v}.e{i}").bitwiseAND(F.lit(_MOD - 1))), 8, "0") for i in range(EXACT)]
+    return F.lower(F.concat(*exact, *[F.lpad(F.hex(F.col(f"{v}.l{i}")), 16, "0") for i in range(LANES // 2)], F.lpad(F.hex(F.col(f"{v}.pairs")), 8, "0")))
 
 
-def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fingerprint, lanes, pairs): the hexadecimal vector, and its centred lanes with their number of pairs."""
-    exact = [F.lpad(F.hex(F.col(f"e{i}").bitwiseAND(F.lit(_MOD - 1))), 8, "0") for i in range(EXACT)]
-    longs = [F.col(f"l{i}") for i in range(LANES // 2)]
-    lanes = F.array(*[2 * F.shiftrightunsigned(x, 32) - F.col("pairs") for x in longs], *[2 * x.bitwiseAND(F.lit(_MOD - 1)) - F.col("pairs") for x in longs])
-    return df.select(*keys, F.lower(F.concat(*exact, *[F.lpad(F.hex(x), 16, "0") for x in longs], F.lpad(F.hex("pairs"), 8, "0"))).alias("fingerprint"), lanes.alias("lanes"))
+def _lanes(v: str) -> Column:
+    """Its lanes, centred."""
+    longs, n = [F.col(f"{v}.l{i}") for i in range(LANES // 2)], F.col(f"{v}.pairs")
+    return F.array(*[2 * F.shiftrightunsigned(x, 32) - n for x in longs], *[2 * x.bitwiseAND(F.lit(_MOD - 1)) - n for x in longs])
 
 
 def likeness(fa: Column | str, a: Column | str, fb: Column | str, b: Column | str) -> Column:
@@ -60,58 +67,69 @@ def likeness(fa: Column | str, a: Column | str, fb: Column | str, b: Column | st
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of every row; null and empty texts share the fingerprint of one empty paragraph."""
-    keyed = docs.select("doc_id", "text").withColumn("__row", F.xxhash64("text"))
-    return _packed(paragraph_vectors(keyed, ["doc_id", "__row"]), ["doc_id", "__row"]).select("doc_id", "fingerprint")
+    """(doc_id, fingerprint) of every distinct (doc_id, text); null and empty texts are one empty paragraph."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
+    sums = paragraph_vectors(keyed, ["row"], also=["doc_id"])
+    return sums.select("doc_id", F.struct(*[c for c in sums.columns if c not in ("row", "doc_id")]).alias("v")).select("doc_id", _print("v").alias("fingerprint"))
 
 
-def next_ids(ids: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
-    """(doc_id, next_id) for distinct ids: the next greater one, after the last the first.
+def with_next(texts: DataFrame, bucket_rows: int = 2_000) -> DataFrame:
+    """(doc_id, text, next_id, next_text) of distinct rows with an id, in the order of (doc_id, text); after the last the first.
 
-    Ids are cut into ranges at corpus-wide quantiles; each range is ordered by itself, and only the ranges'
-    first ids are ordered together.
+    Ids are cut into ranges: at corpus-wide quantiles, and between two of them evenly. Texts move once, to
+    their range; each range is ordered by itself, and only the ranges' first rows are ordered together.
     """
-    found = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    parts = min(MOST_RANGES, max(1, found[0] // bucket_rows))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    below = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
-    ids = ids.withColumn("b", F.size(F.filter(below, lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0))
-    inside = ids.withColumn("n", F.lead("doc_id").over(Window.partitionBy("b").orderBy("doc_id")))
-    firsts = ids.groupBy("b").agg(F.min("doc_id").alias("f"))
-    follow = firsts.select("b", F.coalesce(F.lead("f").over(Window.orderBy("b")), F.lit(found[1])).alias("f"))
-    return inside.join(follow, "b").select("doc_id", F.coalesce("n", "f").alias("next_id"))
+    found = texts.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    parts = min(MOST_CUTS, max(1, found[0] // bucket_rows))
+    cuts = texts.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    edges = sorted({found[1] or 0, *(cuts or [])}) + [(found[2] or 0) + 1]
+    fine = max(1, -(-found[0] // bucket_rows // parts))
+    list_ = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<long>")
+    b = F.greatest(F.lit(1), F.size(F.filter(list_, lambda c: c <= F.col("doc_id"))))
+    t = texts.withColumn("b", F.greatest(F.lit(1), b).cast("long"))
+    if fine > 1:
+        low, high = F.element_at(list_, F.col("b").cast("int")), F.element_at(list_, (F.col("b") + 1).cast("int"))
+        t = t.withColumn("b", F.col("b") * fine + F.floor((F.col("doc_id") - low) / (high - low).cast("double") * fine).cast("long"))
+    w = Window.partitionBy("b").orderBy("doc_id", "text")
+    t = t.withColumn("next_id", F.lead("doc_id").over(w)).withColumn("next_text", F.lead("text").over(w)).withColumn("at", F.row_number().over(w))
+    firsts = t.where("at = 1").select("b", F.col("doc_id").alias("f"), F.col("text").alias("ft"))
+    order = firsts.select("b")
+    follow = order.select("b", F.coalesce(F.lead("b").over(Window.orderBy("b")), F.min("b").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("then"))
+    heads = follow.join(firsts.withColumnRenamed("b", "then"), "then").select("b", "f", "ft")
+    t = t.where("next_id is null or next_id <> doc_id or next_text <> text")  # of equal rows the last
+    inside = t.where("next_id is not null").select("doc_id", "text", "next_id", "next_text")
+    last = t.where("next_id is null").join(heads, "b").select("doc_id", "text", F.col("f").alias("next_id"), F.col("ft").alias("next_text"))
+    return inside.unionByName(last)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row per distinct row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row per row.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of
-    the next document in ascending doc_id, the last by the first. Null texts are empty. Rows without an id
-    come first and have no next document (nothing is put in); rows that repeat an id and a text are one,
-    and of several texts under one id the least is the document that others are edited with.
+    the next document in ascending doc_id, the last by the first. Null texts are empty. Rows that repeat an
+    id stand one after the other in the order of their texts, and those equal in both are one row. Rows
+    without an id have no next document: nothing is put in, and near_next is 0.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = texts.select("doc_id").where("doc_id is not null").distinct()
-    follow = saved(next_ids(saved(ids, "ids")), "next-ids")
-    size = texts.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    wants = follow.join(size, "doc_id").select("doc_id", "next_id", F.floor(F.col("n") / 4).cast("int").alias("k"))
-    source = texts.where("doc_id is not null")
-    heads = source.join(wants.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for"), "k"), "doc_id")
-    heads = heads.groupBy("for").agg(F.min(F.left("text", "k")).alias("head")).withColumnRenamed("for", "doc_id")
+    placed = with_next(texts.where("doc_id is not null"))
+    placed = placed.unionByName(texts.where("doc_id is null").distinct().select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit("").alias("next_text")))
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
-    both = texts.join(heads, "doc_id", "left").withColumn("edited", F.concat(F.left("text", n - k), F.left(F.coalesce("head", F.lit("")), k))).select("doc_id", "text", "edited")
-    sides = both.select("doc_id", F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_chars"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha")))).alias("x"))
-    keys = ["doc_id", "row", "n_chars", "side", "sha"]
-    flat = sides.select("doc_id", "row", "n_chars", "x.side", "x.sha", "x.text")
-    prints = saved(_packed(paragraph_vectors(flat, keys), keys), "fingerprints")
-    own = prints.where("side = 0").select("doc_id", "row", "n_chars", "fingerprint", "lanes")
-    new = prints.where("side = 1").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"), F.col("lanes").alias("edited_lanes"))
-    after = follow.join(own.groupBy("doc_id").agg(F.min(F.struct("fingerprint", "lanes")).alias("x")).withColumnRenamed("doc_id", "next_id"), "next_id").select("doc_id", F.col("x.fingerprint").alias("next_print"), F.col("x.lanes").alias("next_lanes"))
-    out = own.join(new, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).drop("d", "r").join(after, "doc_id", "left")
-    near_next = F.when(F.col("next_print").isNull(), 0.0).otherwise(likeness("fingerprint", "lanes", "next_print", "next_lanes"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "lanes", "edited_fingerprint", "edited_lanes").alias("near_edited"), near_next.alias("near_next"))
+    rows = placed.select("doc_id", "text", F.concat(F.left("text", n - k), F.left("next_text", k)).alias("edited"), F.xxhash64("doc_id", "text").alias("row"), F.when(F.col("next_id").isNotNull(), F.xxhash64("next_id", "next_text")).alias("next_row"))
+    side = lambda i, text, sha: F.struct(F.lit(i).alias("side"), F.col(text).alias("text"), sha.alias("sha"))
+    sides = F.explode(F.array(side(0, "text", F.lit("").cast("binary")), side(1, "edited", F.unhex(F.sha2(F.col("edited").cast("binary"), 256))))).alias("x")
+    flat = rows.select("doc_id", "row", "next_row", F.length("text").cast("long").alias("n_chars"), sides).select("doc_id", "row", "next_row", "n_chars", "x.side", "x.sha", "x.text")
+    keys = ["row", "side"]
+    sums = saved(paragraph_vectors(flat, keys, also=["doc_id", "next_row", "n_chars", "sha"]), "fingerprints")
+    vector = [c for c in sums.columns if c[0] in "el" and c[1:].isdigit()] + ["pairs"]
+    packed = lambda prefix: F.struct(*[F.col(c) for c in vector]).alias(prefix)
+    own = sums.where("side = 0").select("row", "doc_id", "next_row", "n_chars", packed("a"))
+    new = sums.where("side = 1").select("row", "sha", packed("b"))
+    after = sums.where("side = 0").select(F.col("row").alias("next_row"), packed("c"))
+    out = own.join(new, "row").join(after, "next_row", "left")
+    out = out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *[x for s in "abc" for x in (_print(s).alias(f"f{s}"), _lanes(s).alias(f"l{s}"))])
+    near_next = F.when(F.col("fc").isNull(), 0.0).otherwise(likeness("fa", "la", "fc", "lc"))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("fa").alias("fingerprint"), F.col("fb").alias("edited_fingerprint"), likeness("fa", "la", "fb", "lb").alias("near_edited"), near_next.alias("near_next"))
 
 
 def query(spark, sf_dir):

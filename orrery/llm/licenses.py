@@ -104,7 +104,7 @@ class Scanner:
             places = [i for i, w in enumerate(words) if w in distinct]
             found = self._windows(places, [words[i] for i in places], template)
             share = len(found) / len(template)
-            if share >= self.coverage and (name not in best or (share, len(found)) > best[name][1:3]):
+            if share >= self.coverage and (name not in best or (len(found), share) > (best[name][2], best[name][1])):
                 best[name] = (name, share, len(found), found[0], found[-1])
         out: list[tuple] = []
         for x in sorted(best.values(), key=lambda x: (-x[2], -x[1], x[0])):
