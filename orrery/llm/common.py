@@ -171,18 +171,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out
 
 
+def _scored(postings: DataFrame, band=None) -> DataFrame:
+    sizes = postings.groupBy("key").agg(F.count("*").alias("size"))
+    score = postings.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("score"))
+    return postings.withColumn("band", F.lit(0) if band is None else band).join(score, "id")
+
+
+def central(postings: DataFrame, band=None) -> DataFrame:
+    """Of rows (key, id, n), the most central id of each key that several hold: (key, band, lead), lead a struct (score, id, n).
+
+    Central is an id whose keys are held by most rows in sum: in a group of edited copies the original,
+    which links with every copy when the copies don't link with each other. With `band`, an expression of
+    n, ids lead within their band only.
+    """
+    lead = _scored(postings, band).groupBy("key", "band").agg(F.max(F.struct("score", "id", "n")).alias("lead"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return lead.where("lo <> hi").select("key", "band", "lead")
+
+
 def leads(postings: DataFrame, band=None) -> DataFrame:
     """Of rows (key, id, n), candidates (a, na, b, nb, shared): every id with the most central id of each of its keys.
 
-    Central is an id whose keys are held by most rows in sum: in a group of edited copies the original,
-    which links with every copy when the copies don't link with each other. One pair a row at most. With
-    `band`, an expression of n, ids lead within their band only. `shared` counts the keys.
+    One pair a row at most. `shared` counts the keys.
     """
-    sizes = postings.groupBy("key").agg(F.count("*").alias("size"))
-    score = postings.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("score"))
-    p = postings.withColumn("band", F.lit(0) if band is None else band).join(score, "id")
-    lead = p.groupBy("key", "band").agg(F.max(F.struct("score", "id", "n")).alias("lead"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "band", "lead")
-    pairs = p.join(lead, ["key", "band"]).where("id <> lead.id").select(F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    p = postings.withColumn("band", F.lit(0) if band is None else band)
+    pairs = p.join(central(postings, band), ["key", "band"]).where("id <> lead.id").select(F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     return pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
 
 

@@ -6,11 +6,18 @@ Their 64-bit hashes are one permutation; its range is cut into `REGIONS`, and th
 each region's start on are one band (one-permutation MinHash; an empty region has no band). These windows
 are long enough that lines without a common origin share few, so buckets are narrow.
 
-Lines that share a band are candidates, in two rounds as in the n-gram join: with the most central line of
-the bucket, then all pairs of a bucket that aren't connected yet. Candidates are verified by the exact
-Jaccard similarity of finer shingles, the first `size` characters of every word: one changed word changes
-one of them, and two of the windows. At that similarity of 0.8 the windows' is about 0.68 with single
-changed words; a band then agrees with probability 0.31, some band of eight with 0.95 (at 0.9: 0.99). Links
+Lines that share a band are candidates, in two rounds. First every line with the most central line of its
+bucket. Then, exhaustively, the lines of a bucket that aren't connected yet, without pairing them all: each
+line is taken as its difference from that central line, the shingles it adds and lacks. The difference of
+two lines is the difference of these two sets, so a pair of which one isn't linked with the centre can only
+be linked if the sets share so many members that the first ones, added ones before lacking ones, meet (a
+prefix filter with the position of the match). Variants of one line differ from it in different places and
+rarely meet. Nothing above the threshold is lost, and buckets with the same centre are worked on as one.
+
+Candidates are verified by the exact Jaccard similarity of finer shingles, the first `size` characters of
+every word: one changed word changes one of them, and two of the windows. At that similarity of 0.8 the
+windows' is about 0.68 with single changed words; a band then agrees with probability 0.31, some band of
+eight with 0.95 (at 0.9: 0.99). Links
 become components by distributed union-find; the least (doc_id, position) of a component keeps its line.
 """
 
@@ -19,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bridges, components, discard, leads, saved, table
+from orrery.llm.common import central, components, discard, saved, table
 
 REGIONS, ROWS = 8, 3
 #: Ids of which a copy may be sent to every executor (8 bytes each); beyond it the join shuffles.
@@ -34,14 +41,13 @@ def _words(line: str) -> Column:
     return F.when(F.octet_length(line) > 1.8 * F.length(line), F.split(line, "")).otherwise(F.split(line, " "))
 
 
-def _short(line: str, size: int) -> Column:
+def _short(words: str | Column, size: int) -> Column:
     """The shingles that decide: hashes of the first `size` characters of every word, distinct."""
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(F.left(w, F.lit(size)))))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.left(w, F.lit(size)))))
 
 
-def _shingles(line: str, window: int) -> Column:
+def _shingles(words: str, window: int) -> Column:
     """The shingles of the signature: hashes of windows that reach into the next word, sorted and distinct."""
-    words = _words(line)
     after = F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit("")))
     return F.sort_array(F.array_distinct(F.zip_with(words, after, lambda w, v: F.xxhash64(F.left(F.concat(w, F.lit(" "), v), F.lit(window))))))
 
@@ -57,6 +63,34 @@ def _semi(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
+def _unconnected(live: DataFrame, heads: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of lines with the same centre, in different components, that may reach the threshold.
+
+    With sizes na, nb a pair is linked when its difference holds at most q * (na + nb) shingles, where
+    q = (100 - percent) / (100 + percent). Its lines' differences from the centre, da and db, then share
+    (|da| + |db| - q * (na + nb)) / 2 members or more; that is above 0 unless both are linked with the
+    centre, and those are in one component. A line's prefix leaves out one fewer than the least that it
+    shares with any partner: sizes differ by the threshold at most, and a partner of a line that is linked
+    with the centre isn't linked with it.
+    """
+    p = live.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = p.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    p = p.join(mixed, "key", "left_semi").join(heads, "key").where("id <> lead").select("lead", "ln", "id", "n", "c").distinct()
+    d = p.join(sets.select("id", F.col("s").alias("x")), "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("y")), "lead")
+    d = d.select("lead", "ln", "id", "n", "c", F.concat(F.sort_array(F.array_except("x", "y")), F.sort_array(F.array_except("y", "x"))).alias("d"))
+    more, less = F.lit(100 + percent), F.lit(100 - percent)
+    d = d.withColumn("nd", F.size("d").cast("long")).withColumn("linked", more * F.col("nd") <= less * (F.col("n") + F.col("ln")))
+    least = F.when(F.col("linked"), (more * F.col("nd") + less * (F.col("ln") - F.col("n"))) / (2.0 * more)).otherwise(F.col("nd") - less * F.col("n") / F.lit(float(percent)))
+    kept = F.greatest(F.lit(0), F.col("nd") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1).cast("int")
+    edits = saved(d.select("lead", "id", "n", "c", "nd", "linked", F.posexplode(F.slice("d", F.lit(1), kept)).alias("k", "t")), "line-edits")
+    side = lambda x: edits.select("lead", "t", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "nd", "linked", "k")])
+    pairs = side("a").join(side("b"), ["lead", "t"]).where("id_a < id_b and c_a <> c_b and not (linked_a and linked_b)")
+    pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    left = F.least(F.col("nd_a") - F.col("k_a"), F.col("nd_b") - F.col("k_b"))
+    pairs = pairs.where(2 * more * left >= more * (F.col("nd_a") + F.col("nd_b")) - less * (F.col("n_a") + F.col("n_b")))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, size: int = 6, min_chars: int = 16) -> DataFrame:
     """(doc_id, pos, keep_doc, keep_pos) of every line that repeats another, with the line that stays.
 
@@ -65,8 +99,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, size:
     case) are one class whatever their length. Rows that repeat an id are the same document.
     """
     lines = _lines(docs.select("doc_id", "text"), min_chars)
-    signed = lines.withColumn("s", _shingles("line", window))
-    signed = signed.select("doc_id", "pos", "id", "s", F.size(_short("line", size)).alias("n"), F.transform("s", lambda x: F.shiftright(x, 61)).alias("r"), F.concat("s", F.slice("s", 1, ROWS - 1)).alias("w"))
+    signed = lines.select("doc_id", "pos", "id", _words("line").alias("words"))
+    signed = signed.select("doc_id", "pos", "id", _shingles("words", window).alias("s"), F.size(_short("words", size)).alias("n"))
+    signed = signed.select("doc_id", "pos", "id", "n", F.transform("s", lambda x: F.shiftright(x, 61)).alias("r"), F.concat("s", F.slice("s", 1, ROWS - 1)).alias("w"))
     band = lambda j: F.when(F.array_contains("r", F.lit(j).cast("long")), F.xxhash64(F.lit(j), F.slice("w", F.greatest(F.array_position("r", F.lit(j).cast("long")), F.lit(1)).cast("int"), ROWS)))
     half = REGIONS // 2
     signed = signed.select("doc_id", "pos", "id", F.col("n").cast("long").alias("n"), F.array(*[band(j) for j in range(-half, half)]).alias("bands"))
@@ -76,23 +111,20 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, size:
     shared = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     live = saved(posts.join(shared, "key", "left_semi").distinct(), "line-live")
 
+    ids = saved(live.select("id").distinct(), "line-ids")
+    sets = saved(_semi(lines.select("id", "line"), ids).dropDuplicates(["id"]).select("id", _words("line").alias("words")).select("id", _short("words", size).alias("s")), "line-sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "line-pairs")
-        ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-        sets = saved(_semi(lines.select("id", "line"), ids).dropDuplicates(["id"]).select("id", _short("line", size).alias("s")), "line-sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        out = saved(both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"), "line-links")
-        discard(pairs, ids, sets)
-        return out
+        return saved(both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"), "line-links")
 
-    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    first = leads(live)
-    links = verified(first.where(close).drop("shared"))
+    heads = saved(central(live).select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("ln")), "line-heads")
+    near = (F.col("id") != F.col("lead")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
+    links = verified(live.join(heads, "key").where(near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     parts = components(links)
-    more = bridges(live, parts)
-    links = links.unionByName(verified(more.where(close).select("a", "na", "b", "nb").distinct()))
-    discard(more, parts, live)
+    links = links.unionByName(verified(_unconnected(live, heads, parts, sets, percent)))
+    discard(parts, live, heads, ids, sets)
     parts = components(links)
 
     keep = rows.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("k"), F.count("*").alias("copies"))

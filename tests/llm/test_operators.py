@@ -191,6 +191,26 @@ def test_line_dedup_finds_what_brute_force_links(docs):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_line_dedup_second_round_loses_no_link(spark):
+    rng = np.random.default_rng(5)
+    centre = set(range(1000, 1050))
+    sets = {0: centre}
+    for i in range(1, 160):  # variants of one line at all distances, some of them variants of each other
+        of = sets[int(rng.integers(0, i))] if i % 3 == 0 else centre
+        out = set(rng.choice(sorted(of), int(rng.integers(0, 12)), replace=False).tolist())
+        sets[i] = (of - out) | set(rng.integers(0, 400, int(rng.integers(0, 12))).tolist())
+    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    comp = {i: 0 if linked(s, centre) else i for i, s in sets.items()}
+    live = spark.createDataFrame([(1, i, len(s)) for i, s in sets.items()], "key long, id long, n long")
+    heads = spark.createDataFrame([(1, 0, 50)], "key long, lead long, ln long")
+    parts = spark.createDataFrame(list(comp.items()), "id long, component long")
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    got = {(r["a"], r["b"]) for r in line_dedup._unconnected(live, heads, parts, frame, 80).collect()}
+    between = {(i, j) for i in sets for j in sets if 0 < i < j and comp[i] != comp[j]}
+    links = {(i, j) for i, j in between if linked(sets[i], sets[j])}
+    assert links and links <= got and len(got) < len(between) / 4
+
+
 def test_webp_round_trip_and_transforms(spark, odd, none):
     payloads = [(r[1] or "").encode() for r in ROWS] + [bytes(range(256)) * 3, b"\xff" * 192]
     payloads = [p + b" " * ((-len(p)) % 192 if p else 192) for p in payloads] * 3
