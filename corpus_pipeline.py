@@ -2,7 +2,7 @@
 
 1. `quality`: documents that the byte-level network scores under its threshold go. Clean ones stay.
 2. `line_dedup`: of lines that are equal or nearly so, across all documents, one stays. A document all of
-   whose lines repeat others goes.
+   whose lines that aren't blank repeat others goes.
 3. `near_duplicates`: of each group of documents linked by a Jaccard similarity of 0.8 or more over word
    5-grams, the one with the least id stays.
 4. `mix`: sources are taken to their target weights along the curriculum; a document stands once for every
@@ -24,8 +24,8 @@ def _quality(spark, docs, sf_dir):
 
 
 def _line_dedup(spark, docs, sf_dir):
-    out = line_dedup.dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)
+    out = line_dedup.dedup_lines(docs, min_chars=line_dedup.ALL_LINES)
+    left = (F.col("n_removed") == 0) | (F.length(F.trim(F.replace("text", F.lit("\n"), F.lit("")))) > 0)
     length = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return out.where(left).withColumns(length).select(*docs.columns)
 

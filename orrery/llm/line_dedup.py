@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import central, components, discard, saved, table
 
 REGIONS, ROWS = 8, 3
+#: What the queries take for min_chars: every line that isn't blank.
+ALL_LINES = 1
 #: Ids of which a copy may be sent to every executor (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -150,4 +152,4 @@ def dedup_lines(docs: DataFrame, percent: int = 80, window: int = 12, size: int
 
 
 def query(spark, sf_dir):
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=ALL_LINES)

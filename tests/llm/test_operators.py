@@ -168,6 +168,17 @@ def test_line_dedup(spark, odd, none):
     assert out.count() == len(ROWS) and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_takes_short_lines_and_leaves_no_residue(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = [(0, "les.\nund äbe.\na longer line that both of the copies hold"), (1, "Les.\n\n und äbe.\n\na longer line that both of the copies hold"), (2, "les.\n你好。"), (3, "你好。\nx"), (4, "\n \n"), (5, "ab\nac")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    assert got == {0: (docs[0][1], 0), 1: ("\n", 3), 2: ("你好。", 1), 3: ("x", 1), 4: ("\n \n", 0), 5: ("ab\nac", 0)}
+    kept = corpus_pipeline._line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 5]
+
+
 def test_line_dedup_finds_what_brute_force_links(docs):
     lines = [(r["doc_id"], i, x.strip().lower()) for r in docs.collect() for i, x in enumerate((r["text"] or "").split("\n")) if len(x.strip()) >= 16]
     sets = {x: {w[:6] for w in x.split(" ")} for _, _, x in lines}
