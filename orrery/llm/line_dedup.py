@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame and SQL functions only.
 
 The signature's shingles are character windows: for every word, the first `window` characters of it and the
-word after it (lines mostly of characters of three bytes, as Chinese, take every character for a word).
+word after it (lines of more than 1.8 bytes a character take every run of `GRAM` characters for a word).
 Their 64-bit hashes are one permutation; its range is cut into `REGIONS`, and the `ROWS` least values from
 each region's start on are one band (one-permutation MinHash; an empty region has no band). These windows
 are long enough that lines without a common origin share few, so buckets are narrow.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import central, components, discard, saved, table
 
 REGIONS, ROWS = 8, 3
+#: Characters of an n-gram.
+GRAM = 4
 #: What the queries take for min_chars: every line that isn't blank.
 ALL_LINES = 1
 #: Ids of which a copy may be sent to every executor (8 bytes each); beyond it the join shuffles.
@@ -39,8 +41,13 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+def _grams(line: str, size: int = GRAM) -> Column:
+    """All runs of `size` characters, one from each character on; a shorter line is its own only one."""
+    return F.when(F.length(line) < size, F.array(F.col(line))).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
+
+
 def _words(line: str) -> Column:
-    return F.when(F.octet_length(line) > 1.8 * F.length(line), F.split(line, "")).otherwise(F.split(line, " "))
+    return F.when(F.octet_length(line) > 1.8 * F.length(line), _grams(line)).otherwise(F.split(line, " "))
 
 
 def _short(words: str | Column, size: int) -> Column:

@@ -202,6 +202,15 @@ def test_line_dedup_finds_what_brute_force_links(docs):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+@pytest.mark.parametrize("first,letters,space", [(0x430, 32, " "), (0x3B1, 24, " "), (0x5D0, 27, " "), (0x905, 48, " "), (0x4E00, 300, "")])
+def test_line_dedup_keeps_unrelated_lines_of_any_script(spark, first, letters, space):
+    rng = np.random.default_rng(9)
+    lines = [space.join("".join(chr(first + int(c)) for c in rng.integers(0, letters, 7)) for _ in range(80)) for _ in range(30)]
+    edited = lines[0][:100] + chr(first) * 3 + lines[0][103:]
+    df = spark.createDataFrame([*enumerate(lines), (99, edited)], "doc_id bigint, text string")
+    assert [(r["doc_id"], r["keep_doc"]) for r in line_dedup.duplicate_lines(df).collect()] == [(99, 0)]
+
+
 def test_line_dedup_second_round_loses_no_link(spark):
     rng = np.random.default_rng(5)
     centre = set(range(1000, 1050))
