@@ -1,10 +1,8 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame and SQL functions only.
 
-The signature's shingles are character windows: for every word, the first `window` characters of it and the
-word after it (lines of more than 1.8 bytes a character take every run of `GRAM` characters for a word).
+A line's shingles are all its runs of `GRAM` characters, overlapping, in any script; a shorter line is one.
 Their 64-bit hashes are one permutation; its range is cut into `REGIONS`, and the `ROWS` least values from
-each region's start on are one band (one-permutation MinHash; an empty region has no band). These windows
-are long enough that lines without a common origin share few, so buckets are narrow.
+each region's start on are one band (one-permutation MinHash; an empty region has no band).
 
 Lines that share a band are candidates, in two rounds. First every line with the most central line of its
 bucket. Then, exhaustively, the lines of a bucket that aren't connected yet, without pairing them all: each
@@ -14,15 +12,15 @@ be linked if the sets share so many members that the first ones, added ones befo
 prefix filter with the position of the match). Variants of one line differ from it in different places and
 rarely meet. Nothing above the threshold is lost, and buckets with the same centre are worked on as one.
 
-Candidates are verified by the exact Jaccard similarity of finer shingles, the first `size` characters of
-every word: one changed word changes one of them, and two of the windows. At that similarity of 0.8 the
-windows' is about 0.68 with single changed words; a band then agrees with probability 0.31, some band of
-eight with 0.95 (at 0.9: 0.99). Links
+Candidates are verified by the exact Jaccard similarity of the same shingles, made anew from the two lines'
+text: moving text instead of sets moves an eighth of the bytes. Links
 become components by distributed union-find; the least (doc_id, position) of a component keeps its line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +39,14 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def _grams(line: str, size: int = GRAM) -> Column:
+def _grams(line: str, size: int) -> Column:
     """All runs of `size` characters, one from each character on; a shorter line is its own only one."""
     return F.when(F.length(line) < size, F.array(F.col(line))).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
 
 
-def _words(line: str) -> Column:
-    return F.when(F.octet_length(line) > 1.8 * F.length(line), _grams(line)).otherwise(F.split(line, " "))
-
-
-def _short(words: str | Column, size: int) -> Column:
-    """The shingles that decide: hashes of the first `size` characters of every word, distinct."""
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.left(w, F.lit(size)))))
-
-
-def _shingles(words: str, window: int) -> Column:
-    """The shingles of the signature: hashes of windows that reach into the next word, sorted and distinct."""
-    after = F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit("")))
-    return F.sort_array(F.array_distinct(F.zip_with(words, after, lambda w, v: F.xxhash64(F.left(F.concat(w, F.lit(" "), v), F.lit(window))))))
+def _shingles(line: str, size: int = GRAM) -> Column:
+    """Hashes of the line's n-grams, sorted and distinct."""
+    return F.sort_array(F.array_distinct(F.transform(_grams(line, size), lambda g: F.xxhash64(g))))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -72,7 +60,7 @@ def _semi(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
-def _unconnected(live: DataFrame, heads: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _unconnected(live: DataFrame, heads: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, of: Callable[[str], Column] = F.col) -> DataFrame:
     """Pairs (a, b) of lines with the same centre, in different components, that may reach the threshold.
 
     With sizes na, nb a pair is linked when its difference holds at most q * (na + nb) shingles, where
@@ -80,12 +68,13 @@ def _unconnected(live: DataFrame, heads: DataFrame, parts: DataFrame, sets: Data
     (|da| + |db| - q * (na + nb)) / 2 members or more; that is above 0 unless both are linked with the
     centre, and those are in one component. A line's prefix leaves out one fewer than the least that it
     shares with any partner: sizes differ by the threshold at most, and a partner of a line that is linked
-    with the centre isn't linked with it.
+    with the centre isn't linked with it. `sets` has (id, s), where `of` makes a set of s after it has moved.
     """
     p = live.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = p.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     p = p.join(mixed, "key", "left_semi").join(heads, "key").where("id <> lead").select("lead", "ln", "id", "n", "c").distinct()
     d = p.join(sets.select("id", F.col("s").alias("x")), "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("y")), "lead")
+    d = d.select("lead", "ln", "id", "n", "c", of("x").alias("x"), of("y").alias("y"))
     d = d.select("lead", "ln", "id", "n", "c", F.concat(F.sort_array(F.array_except("x", "y")), F.sort_array(F.array_except("y", "x"))).alias("d"))
     more, less = F.lit(100 + percent), F.lit(100 - percent)
     d = d.withColumn("nd", F.size("d").cast("long")).withColumn("linked", more * F.col("nd") <= less * (F.col("n") + F.col("ln")))
@@ -100,7 +89,7 @@ def _unconnected(live: DataFrame, heads: DataFrame, parts: DataFrame, sets: Data
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, size: int = 6, min_chars: int = 16) -> DataFrame:
+def duplicate_lines(docs: DataFrame, percent: int = 80, size: int = GRAM, min_chars: int = 16) -> DataFrame:
     """(doc_id, pos, keep_doc, keep_pos) of every line that repeats another, with the line that stays.
 
     Positions count from 0 at newlines. Lines of fewer than min_chars characters without surrounding
@@ -108,9 +97,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, size:
     case) are one class whatever their length. Rows that repeat an id are the same document.
     """
     lines = _lines(docs.select("doc_id", "text"), min_chars)
-    signed = lines.select("doc_id", "pos", "id", _words("line").alias("words"))
-    signed = signed.select("doc_id", "pos", "id", _shingles("words", window).alias("s"), F.size(_short("words", size)).alias("n"))
-    signed = signed.select("doc_id", "pos", "id", "n", F.transform("s", lambda x: F.shiftright(x, 61)).alias("r"), F.concat("s", F.slice("s", 1, ROWS - 1)).alias("w"))
+    signed = lines.select("doc_id", "pos", "id", _shingles("line", size).alias("s"))
+    signed = signed.select("doc_id", "pos", "id", F.size("s").alias("n"), F.transform("s", lambda x: F.shiftright(x, 61)).alias("r"), F.concat("s", F.slice("s", 1, ROWS - 1)).alias("w"))
     band = lambda j: F.when(F.array_contains("r", F.lit(j).cast("long")), F.xxhash64(F.lit(j), F.slice("w", F.greatest(F.array_position("r", F.lit(j).cast("long")), F.lit(1)).cast("int"), ROWS)))
     half = REGIONS // 2
     signed = signed.select("doc_id", "pos", "id", F.col("n").cast("long").alias("n"), F.array(*[band(j) for j in range(-half, half)]).alias("bands"))
@@ -121,10 +109,12 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, size:
     live = saved(posts.join(shared, "key", "left_semi").distinct(), "line-live")
 
     ids = saved(live.select("id").distinct(), "line-ids")
-    sets = saved(_semi(lines.select("id", "line"), ids).dropDuplicates(["id"]).select("id", _words("line").alias("words")).select("id", _short("words", size).alias("s")), "line-sets")
+    sets = saved(_semi(lines.select("id", "line"), ids).dropDuplicates(["id"]).select("id", F.col("line").alias("s")), "line-sets")
+    of = lambda s: _shingles(s, size)
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        both = both.select("a", "b", of("x").alias("x"), of("y").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         return saved(both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"), "line-links")
 
@@ -132,7 +122,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, size:
     near = (F.col("id") != F.col("lead")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
     links = verified(live.join(heads, "key").where(near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     parts = components(links)
-    links = links.unionByName(verified(_unconnected(live, heads, parts, sets, percent)))
+    links = links.unionByName(verified(_unconnected(live, heads, parts, sets, percent, of)))
     discard(parts, live, heads, ids, sets)
     parts = components(links)
 
@@ -143,12 +133,12 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, window: int = 12, size:
     return rows.select("doc_id", "pos", "id").join(stays, "id").where("doc_id <> keep_doc or pos <> keep_pos").select("doc_id", "pos", "keep_doc", "keep_pos")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, window: int = 12, size: int = 6, min_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, size: int = GRAM, min_chars: int = 16) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines and n_removed (columns of these names go).
 
     A null text stays null (no lines); an empty one is one empty line and stays.
     """
-    gone = duplicate_lines(docs, percent, window, size, min_chars).groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"))
+    gone = duplicate_lines(docs, percent, size, min_chars).groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"))
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     base = docs.drop("n_lines", "n_removed").join(gone, "doc_id", "left").withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))

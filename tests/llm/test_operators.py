@@ -211,6 +211,19 @@ def test_line_dedup_keeps_unrelated_lines_of_any_script(spark, first, letters, s
     assert [(r["doc_id"], r["keep_doc"]) for r in line_dedup.duplicate_lines(df).collect()] == [(99, 0)]
 
 
+def test_line_dedup_compares_every_character(spark):
+    docs = [
+        (0, "https://www.first-site.com/about/contact"),
+        (1, "https://www.other-place.org/shop/item-77"),
+        (2, "internationalisation characterisation"),
+        (3, "international characters"),
+        (4, "seven quite ordinary words with one typographical mistake"),
+        (5, "seven quite ordinary words with one typographicel mistake"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert [(r["doc_id"], r["keep_doc"]) for r in line_dedup.duplicate_lines(df).collect()] == [(5, 4)]
+
+
 def test_line_dedup_second_round_loses_no_link(spark):
     rng = np.random.default_rng(5)
     centre = set(range(1000, 1050))
