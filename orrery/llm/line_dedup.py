@@ -1,8 +1,11 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame and SQL functions only.
 
 A line's shingles are all its runs of `GRAM` characters, overlapping, in any script; a shorter line is one.
-Their 64-bit hashes are one permutation; its range is cut into `REGIONS`, and the `ROWS` least values from
-each region's start on are one band (one-permutation MinHash; an empty region has no band).
+Their sorted 64-bit hashes are one permutation, closed to a circle; so many neighbours in it (`BANDS`) are one
+band. Lines of up to 30 shingles have a band from every value on: at a similarity of 0.8 at most a fifth of
+the union's values are in one line only, so some four neighbours are in both, and no pair is missed. Longer
+lines have bands of more values, from the first value of each of `REGIONS` parts of the range on; a line has
+both kinds near a limit, so that any two that may reach the threshold have one kind in common.
 
 Lines that share a band are candidates, in two rounds. First every line with the most central line of its
 bucket. Then, exhaustively, the lines of a bucket that aren't connected yet, without pairing them all: each
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import central, components, discard, saved, table
 
-REGIONS, ROWS = 8, 3
+REGIONS = 20
+#: Values in a band, and the most shingles of a line that makes such bands.
+BANDS = ((4, 30), (5, 75), (6, 1 << 31))
 #: Characters of an n-gram.
 GRAM = 4
 #: What the queries take for min_chars: every line that isn't blank.
@@ -49,6 +54,21 @@ def _shingles(line: str, size: int = GRAM) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_grams(line, size), lambda g: F.xxhash64(g))))
 
 
+def _bands(s: str, n: str, percent: int) -> Column:
+    """Keys of the bands of a line with the sorted shingles s, n in number."""
+    region = lambda x: F.shiftright(F.shiftright(x, 40) * REGIONS, 24)
+    parts = F.transform(s, region)
+    firsts = F.transform(F.array_distinct(parts), lambda v: F.array_position(parts, v).cast("int"))
+    circle = F.concat(s, F.slice(s, 1, BANDS[-1][0] - 1))
+    keys, least = [], 0
+    for rows, most in BANDS:
+        starts = F.sequence(F.lit(1), F.col(n)) if not keys else firsts
+        made = F.transform(starts, lambda i, rows=rows: F.xxhash64(F.lit(rows), F.slice(circle, i, F.lit(rows))))
+        keys.append(F.when(F.col(n).between(least, most), made).otherwise(F.array().cast("array<bigint>")))
+        least = (most + 1) * percent // 100
+    return F.array_distinct(F.concat(*keys))
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, pos, line, id) of the lines that take part; id is a 64-bit hash of the normalised line."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", _normal(F.col("line")).alias("line"))
@@ -98,13 +118,11 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, size: int = GRAM, min_ch
     """
     lines = _lines(docs.select("doc_id", "text"), min_chars)
     signed = lines.select("doc_id", "pos", "id", _shingles("line", size).alias("s"))
-    signed = signed.select("doc_id", "pos", "id", F.size("s").alias("n"), F.transform("s", lambda x: F.shiftright(x, 61)).alias("r"), F.concat("s", F.slice("s", 1, ROWS - 1)).alias("w"))
-    band = lambda j: F.when(F.array_contains("r", F.lit(j).cast("long")), F.xxhash64(F.lit(j), F.slice("w", F.greatest(F.array_position("r", F.lit(j).cast("long")), F.lit(1)).cast("int"), ROWS)))
-    half = REGIONS // 2
-    signed = signed.select("doc_id", "pos", "id", F.col("n").cast("long").alias("n"), F.array(*[band(j) for j in range(-half, half)]).alias("bands"))
+    signed = signed.select("doc_id", "pos", "id", "s", F.size("s").alias("n"))
+    signed = signed.select("doc_id", "pos", "id", F.col("n").cast("long").alias("n"), _bands("s", "n", percent).alias("bands"))
     rows = saved(signed, "line-bands")
 
-    posts = rows.select(F.explode("bands").alias("key"), "id", "n").where("key is not null")
+    posts = rows.select(F.explode("bands").alias("key"), "id", "n")
     shared = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     live = saved(posts.join(shared, "key", "left_semi").distinct(), "line-live")
 

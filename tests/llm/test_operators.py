@@ -224,6 +224,26 @@ def test_line_dedup_compares_every_character(spark):
     assert [(r["doc_id"], r["keep_doc"]) for r in line_dedup.duplicate_lines(df).collect()] == [(5, 4)]
 
 
+def test_line_dedup_recall_of_lines_that_differ(spark):
+    rng = np.random.default_rng(11)
+    grams = lambda x: {x[i : i + 4] for i in range(len(x) - 3)}
+    docs, pairs = [], {True: [], False: []}
+    while len(docs) < 3000:  # edited lines of 16 to 300 characters, likenesses of 0.8 to 0.87
+        a = " ".join("".join(map(chr, rng.integers(97, 123, int(rng.integers(2, 9))))) for _ in range(60))[: int(np.exp(rng.uniform(2.8, 5.7 if len(docs) % 4 else 3.4)))].strip()
+        b = a
+        for _ in range(int(rng.integers(1, 8))):
+            at = int(rng.integers(0, len(b) + 1))
+            b = b[:at] + chr(int(rng.integers(97, 123))) + b[at + int(rng.integers(0, 2)) :]
+        x, y = grams(a), grams(b)
+        if a != b and 0.8 <= len(x & y) / len(x | y) <= 0.87:
+            docs += [(len(docs), a), (len(docs) + 1, b)]
+            pairs[max(len(x), len(y)) <= 30].append(docs[-1][0])
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["keep_doc"]) for r in line_dedup.duplicate_lines(df, min_chars=1).collect()}
+    found = {short: np.mean([(d, d - 1) in got for d in ds]) for short, ds in pairs.items()}
+    assert min(map(len, pairs.values())) > 50 and found[True] == 1 and found[False] >= 0.99
+
+
 def test_line_dedup_second_round_loses_no_link(spark):
     rng = np.random.default_rng(5)
     centre = set(range(1000, 1050))
