@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import saved, table
 
-EXACT, LANES = 8, 64
+EXACT, LANES = 8, 128
 _MOD = 1 << 32
 #: Quantiles at which ids are cut; with more ranges than these, they are cut evenly in between.
 MOST_CUTS = 500
@@ -36,10 +36,10 @@ def paragraph_vectors(texts: DataFrame, keys: list[str], text: str = "text", als
     words = F.transform(F.split("p", " "), lambda w: F.xxhash64(w))
     lines = lines.select(*whole_text, F.xxhash64("p").alias("h"), words.alias("w"))
     pairs = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.slice("w", 1, F.size("w") - 1)), "w", lambda a, b: F.shiftleft(a, 1).bitwiseXOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b))
-    units = lines.select(*whole_text, F.posexplode(F.concat(F.array("h"), pairs)).alias("i", "u")).withColumn("v", F.xxhash64("u", F.lit(1)))
+    units = lines.select(*whole_text, F.posexplode(F.concat(F.array("h"), pairs)).alias("i", "u")).withColumn("v", F.xxhash64("u", F.lit(1))).withColumn("v2", F.xxhash64("u", F.lit(2)))
     whole = F.col("i") == 0
     exact = [F.sum(F.when(whole, F.xxhash64("u", F.lit(10 + j)).bitwiseAND(F.lit(_MOD - 1))).otherwise(F.lit(0).cast("long"))) for j in range(EXACT // 2)]
-    lanes = [F.sum(F.when(whole, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(c, j).bitwiseAND(F.lit(_PAIRED)))) for c in ("v",) for j in range(32)]
+    lanes = [F.sum(F.when(whole, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(c, j).bitwiseAND(F.lit(_PAIRED)))) for c in ("v", "v2") for j in range(32)]
     more = [F.sum(F.when(whole, F.shiftrightunsigned(F.xxhash64("u", F.lit(10 + j)), 32)).otherwise(F.lit(0).cast("long"))) for j in range(EXACT // 2)]
     sums = [x.alias(f"e{i}") for i, x in enumerate([*exact, *more])] + [x.alias(f"l{i}") for i, x in enumerate(lanes)]
     return units.groupBy(*keys, *also).agg(*sums, F.sum(F.when(whole, 0).otherwise(1)).alias("pairs"))

@@ -430,6 +430,16 @@ def test_fingerprints(spark, docs, odd, none):
     assert all(nxt[a] == ids[(i + 1) % len(ids)] for i, a in enumerate(ids))
 
 
+def test_fingerprints_estimate_likeness_within_the_error_of_128_lanes(spark):
+    rows = []
+    for i in range(400):  # 120 of 200 word pairs are in both texts
+        common = [f"c{i}x{j}" for j in range(120)]
+        rows += [(2 * i, " ".join(common + [f"a{i}x{j}" for j in range(40)])), (2 * i + 1, " ".join(common + [f"b{i}x{j}" for j in range(40)]))]
+    out = fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    near = np.array([r["near_next"] for r in out.where("doc_id % 2 = 0").select("near_next").collect()])
+    assert len(near) == 400 and abs(near.mean() - 0.6) < 0.02 and np.sqrt(np.mean((near - 0.6) ** 2)) < 0.058
+
+
 def test_bpe_equals_tiktoken(odd, none, docs):
     import tiktoken
 
