@@ -1,11 +1,20 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame and SQL functions only.
 
-A line's shingles are all its runs of `GRAM` characters, overlapping, in any script; a shorter line is one.
-Their sorted 64-bit hashes are one permutation, closed to a circle; so many neighbours in it (`BANDS`) are one
-band. Lines of up to 30 shingles have a band from every value on: at a similarity of 0.8 at most a fifth of
-the union's values are in one line only, so some four neighbours are in both, and no pair is missed. Longer
-lines have bands of more values, from the first value of each of `REGIONS` parts of the range on; a line has
-both kinds near a limit, so that any two that may reach the threshold have one kind in common.
+Two lines are near copies when the Jaccard similarity of their sets of character shingles (all runs of
+`GRAM` characters, overlapping, in any script; a shorter line is one) is at the threshold or above.
+
+Signature: one-permutation MinHash over runs of `WINDOW` characters. A run's hash names one of `BINS` bins
+and a value, a bin keeps its least value. Every two neighbouring bins, in a circle, are one band. The runs are
+longer than the shingles because random lines of one language share many short runs and few long ones, so that
+bands of two values are selective; an edited character spoils at most `WINDOW` runs where it spoils `GRAM`
+shingles, so that lines of a similarity of 0.8 still have a similarity of 0.56 or more in runs, and share a band
+in 0.988 of all cases at worst (edits far apart, exactly at the threshold) and nearly always elsewhere. Runs
+are made as rows by `explode`, not by a function over arrays: everything stays in generated code. Of a long
+line only runs whose hash is low take part, some `DENSITY` a bin: the least of a bin is among them.
+
+Lines of at most `SHORT` characters also have bands of their sorted shingle hashes, closed to a circle: so
+many neighbours (`BANDS`) are one band, from every value on in lines of up to 30 shingles. A similarity of 0.8
+leaves some four neighbours in both, and no pair is missed.
 
 Lines that share a band are candidates, in two rounds. First every line with the most central line of its
 bucket. Then, exhaustively, the lines of a bucket that aren't connected yet, without pairing them all: each
@@ -15,9 +24,10 @@ be linked if the sets share so many members that the first ones, added ones befo
 prefix filter with the position of the match). Variants of one line differ from it in different places and
 rarely meet. Nothing above the threshold is lost, and buckets with the same centre are worked on as one.
 
-Candidates are verified by the exact Jaccard similarity of the same shingles, made anew from the two lines'
-text: moving text instead of sets moves an eighth of the bytes. Links
-become components by distributed union-find; the least (doc_id, position) of a component keeps its line.
+Candidates of the first round whose signatures agree in fewer than `AGREE` bins are passed over (at worst 0.0007
+of the pairs at the threshold), those with a short line or one of few values never. All others are verified by the exact Jaccard similarity of their shingles, made anew from the two lines'
+text: moving text instead of sets moves an eighth of the bytes. Links become components by distributed
+union-find; the least (doc_id, position) of a component keeps its line.
 """
 
 from __future__ import annotations
@@ -29,41 +39,48 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import central, components, discard, saved, table
 
+#: Characters of a shingle, and of a run that the signature is made of.
+GRAM, WINDOW = 4, 10
+#: Bins of the signature, and the runs of a long line that each gets on average.
+BINS, DENSITY = 16, 4
+#: Bins that two lines longer than `SHORT` agree in, else they aren't compared.
+AGREE = 3
+#: Lines with values in fewer bins than these also have bands of their neighbouring values, whatever the bins.
+FEW = 10
+#: Characters of a line that has bands of sorted shingles too.
+SHORT = 78
+#: Values in such a band, and the most shingles of a line that makes it.
+BANDS = ((4, 30), (5, SHORT - GRAM + 1))
+#: Parts of the range of which each first value begins a band of the second kind.
 REGIONS = 20
-#: Values in a band, and the most shingles of a line that makes such bands.
-BANDS = ((4, 30), (5, 75), (6, 1 << 31))
-#: Characters of an n-gram.
-GRAM = 4
 #: What the queries take for min_chars: every line that isn't blank.
 ALL_LINES = 1
-#: Ids of which a copy may be sent to every executor (8 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Keys of which a copy may be sent to every executor (24 bytes each at most); beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
+def _shingles(line: str, size: int = GRAM, ordered: bool = False) -> Column:
+    """Hashes of the line's n-grams, distinct; a shorter line is its own only one.
 
-
-def _grams(line: str, size: int) -> Column:
-    """All runs of `size` characters, one from each character on; a shorter line is its own only one."""
-    return F.when(F.length(line) < size, F.array(F.col(line))).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1)))
-
-
-def _shingles(line: str, size: int = GRAM) -> Column:
-    """Hashes of the line's n-grams, sorted and distinct."""
-    return F.sort_array(F.array_distinct(F.transform(_grams(line, size), lambda g: F.xxhash64(g))))
+    The encoded line is bound by an outer transform, else it would be made anew for every n-gram.
+    """
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(line) - size))
+    grams = lambda chars: F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(chars, 4 * i + 1, F.lit(4 * size)))))
+    out = F.get(F.transform(F.array(F.encode(F.col(line), "UTF-32")), grams), F.lit(0))
+    return F.sort_array(out) if ordered else out
 
 
 def _bands(s: str, n: str, percent: int) -> Column:
-    """Keys of the bands of a line with the sorted shingles s, n in number."""
+    """Keys of the bands of a short line with the sorted shingles s, n in number."""
     region = lambda x: F.shiftright(F.shiftright(x, 40) * REGIONS, 24)
     parts = F.transform(s, region)
     firsts = F.transform(F.array_distinct(parts), lambda v: F.array_position(parts, v).cast("int"))
     circle = F.concat(s, F.slice(s, 1, BANDS[-1][0] - 1))
+    band = lambda rows: lambda i: F.xxhash64(F.lit(rows), F.slice(circle, i, F.lit(rows)))  # noqa: E731  a second parameter would be the index
     keys, least = [], 0
     for rows, most in BANDS:
         starts = F.sequence(F.lit(1), F.col(n)) if not keys else firsts
-        made = F.transform(starts, lambda i, rows=rows: F.xxhash64(F.lit(rows), F.slice(circle, i, F.lit(rows))))
+        made = F.transform(starts, band(rows))
         keys.append(F.when(F.col(n).between(least, most), made).otherwise(F.array().cast("array<bigint>")))
         least = (most + 1) * percent // 100
     return F.array_distinct(F.concat(*keys))
@@ -71,42 +88,102 @@ def _bands(s: str, n: str, percent: int) -> Column:
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, pos, line, id) of the lines that take part; id is a 64-bit hash of the normalised line."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", _normal(F.col("line")).alias("line"))
-    return rows.where(F.col("doc_id").isNotNull() & (F.length("line") >= min_chars)).withColumn("id", F.xxhash64("line"))
+    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    rows = rows.select("doc_id", "pos", F.trim("line").alias("line"))
+    return rows.where(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
+
+
+def _minima(lines: DataFrame) -> DataFrame:
+    """(id, last, m0, m1, ..) from (id, line): the least value of every bin, null where it has none; one row per id.
+
+    `last` is the place of the last run: the line's length less that of a run, or 0.
+
+    The first few runs take part whatever their hash, so that a long line of few different runs has values
+    too; they never displace a lower one.
+    """
+    units = lines.select("id", F.encode(F.col("line"), "UTF-16BE").alias("u"))
+    units = units.withColumn("last", F.greatest(F.lit(0), F.expr("octet_length(u) div 2").cast("int") - WINDOW))
+    runs = units.select("id", "u", "last", F.explode(F.expr("sequence(0, last)")).alias("i"))
+    runs = runs.select("id", "i", "last", F.xxhash64(F.expr(f"substring(u, 2 * i + 1, {2 * WINDOW})")).alias("h"))
+    low = F.shiftrightunsigned("h", 40) * (F.col("last") + 1).cast("long") <= F.lit(BINS * DENSITY << 24)
+    runs = runs.where((F.col("i") < BINS) | low).select("id", "last", F.col("h").bitwiseAND(F.lit(BINS - 1)).alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("v"))
+    return runs.groupBy("id").agg(F.max("last").alias("last"), *[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(BINS)])
+
+
+def _minima_bands(minima: DataFrame) -> DataFrame:
+    """(key, id): the bands of the signatures."""
+    m = [F.col(f"m{j}") for j in range(BINS)]
+    pairs = [F.when(m[j].isNotNull() & m[(j + 1) % BINS].isNotNull(), F.xxhash64(F.lit(j), m[j], m[(j + 1) % BINS])) for j in range(BINS)]
+    every = minima.select("id", F.explode(F.array(*pairs)).alias("key")).where("key is not null").select("key", "id")
+    few = minima.select("id", F.array_compact(F.array(*m)).alias("v")).where(F.size("v") < FEW)
+    near = F.transform("v", lambda x, i: F.xxhash64(F.lit(-1), x, F.get("v", (i + 1) % F.size("v"))))
+    return every.unionByName(few.select(F.explode(F.array_distinct(near)).alias("key"), "id"))
+
+
+def _alike(pairs: DataFrame, minima: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be worth a comparison, by their signatures."""
+    side = lambda x: minima.select(F.col("id").alias(x), F.col("last").alias(f"last_{x}"), *[F.col(f"m{j}").alias(f"{x}{j}") for j in range(BINS)])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    agree = sum((F.when(F.col(f"a{j}") == F.col(f"b{j}"), 1).otherwise(0) for j in range(BINS)), F.lit(0))
+    filled = [sum((F.col(f"{x}{j}").isNotNull().cast("int") for j in range(BINS)), F.lit(0)) for x in "ab"]
+    return both.where((F.least("last_a", "last_b") <= SHORT - WINDOW) | (F.least(*filled) < FEW) | (agree >= AGREE)).select("a", "b")
+
+
+def _semi(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of df that have one of the keys, all of whose columns are df's."""
+    small = keys.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if small else keys, keys.columns, "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) whose lines' exact Jaccard similarity reaches the threshold; `texts` has (id, line)."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    both = both.select("a", "b", _shingles("x", size).alias("x"), _shingles("y", size).alias("y"))
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.where(100 * F.col("common") >= percent * (F.col("n") - F.col("common"))).select("a", "b")
+
+
+def _texts(lines: DataFrame, least: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line) of the ids, each read where it stands first."""
+    return _semi(lines, ids.join(least, "id").select("id", "k.doc_id", "k.pos")).select("id", "line")
 
 
-def _semi(df: DataFrame, ids: DataFrame) -> DataFrame:
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+def _apart(live: DataFrame, heads: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, lead, id, c, members): the lines of buckets that hold several components c beside their centre."""
+    p = live.join(heads, "key").where("id <> lead").join(parts, "id", "left").select("key", "lead", "id", F.coalesce("component", "id").alias("c"))
+    mixed = p.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
+    return p.join(mixed, "key")
 
 
-def _unconnected(live: DataFrame, heads: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, of: Callable[[str], Column] = F.col) -> DataFrame:
-    """Pairs (a, b) of lines with the same centre, in different components, that may reach the threshold.
+def _unconnected(apart: DataFrame, sets: DataFrame, percent: int, of: Callable[[str], Column] = F.col) -> DataFrame:
+    """Pairs (a, b) of lines (lead, id, c) with the same centre, in different components, that may reach the threshold.
 
     With sizes na, nb a pair is linked when its difference holds at most q * (na + nb) shingles, where
     q = (100 - percent) / (100 + percent). Its lines' differences from the centre, da and db, then share
     (|da| + |db| - q * (na + nb)) / 2 members or more; that is above 0 unless both are linked with the
     centre, and those are in one component. A line's prefix leaves out one fewer than the least that it
     shares with any partner: sizes differ by the threshold at most, and a partner of a line that is linked
-    with the centre isn't linked with it. `sets` has (id, s), where `of` makes a set of s after it has moved.
+    with the centre isn't linked with it. What a pair shares beyond its prefixes is at most what one of them
+    leaves out, so the members that meet are counted, too. `sets` has (id, s), where `of` makes a set of s after it has moved.
     """
-    p = live.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = p.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    p = p.join(mixed, "key", "left_semi").join(heads, "key").where("id <> lead").select("lead", "ln", "id", "n", "c").distinct()
+    p = apart.select("lead", "id", "c").distinct()
     d = p.join(sets.select("id", F.col("s").alias("x")), "id").join(sets.select(F.col("id").alias("lead"), F.col("s").alias("y")), "lead")
-    d = d.select("lead", "ln", "id", "n", "c", of("x").alias("x"), of("y").alias("y"))
-    d = d.select("lead", "ln", "id", "n", "c", F.concat(F.sort_array(F.array_except("x", "y")), F.sort_array(F.array_except("y", "x"))).alias("d"))
+    d = d.select("lead", "id", "c", of("x").alias("x"), of("y").alias("y"))
+    d = d.select("lead", "id", "c", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("ln"), F.concat(F.sort_array(F.array_except("x", "y")), F.sort_array(F.array_except("y", "x"))).alias("d"))
     more, less = F.lit(100 + percent), F.lit(100 - percent)
     d = d.withColumn("nd", F.size("d").cast("long")).withColumn("linked", more * F.col("nd") <= less * (F.col("n") + F.col("ln")))
     least = F.when(F.col("linked"), (more * F.col("nd") + less * (F.col("ln") - F.col("n"))) / (2.0 * more)).otherwise(F.col("nd") - less * F.col("n") / F.lit(float(percent)))
     kept = F.greatest(F.lit(0), F.col("nd") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1).cast("int")
-    edits = saved(d.select("lead", "id", "n", "c", "nd", "linked", F.posexplode(F.slice("d", F.lit(1), kept)).alias("k", "t")), "line-edits")
-    side = lambda x: edits.select("lead", "t", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "nd", "linked", "k")])
+    edits = saved(d.select("lead", "id", "n", "c", "nd", "linked", (F.col("nd") - kept).alias("rest"), F.posexplode(F.slice("d", F.lit(1), kept)).alias("k", "t")), "line-edits")
+    side = lambda x: edits.select("lead", "t", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "nd", "linked", "rest", "k")])
     pairs = side("a").join(side("b"), ["lead", "t"]).where("id_a < id_b and c_a <> c_b and not (linked_a and linked_b)")
     pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    left = F.least(F.col("nd_a") - F.col("k_a"), F.col("nd_b") - F.col("k_b"))
-    pairs = pairs.where(2 * more * left >= more * (F.col("nd_a") + F.col("nd_b")) - less * (F.col("n_a") + F.col("n_b")))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    need = more * (F.col("nd_a") + F.col("nd_b")) - less * (F.col("n_a") + F.col("n_b"))
+    left = F.max(F.least(F.col("nd_a") - F.col("k_a"), F.col("nd_b") - F.col("k_b")))  # at the first that they share
+    pairs = pairs.groupBy("lead", F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.least(left, F.count("*") + F.max(F.greatest("rest_a", "rest_b"))).alias("most"), F.max(need).alias("need"))
+    out = pairs.where(2 * more * F.col("most") >= F.col("need")).select("a", "b").distinct()
+    out._work_path = edits._work_path
+    return out
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80, size: int = GRAM, min_chars: int = 16) -> DataFrame:
@@ -117,38 +194,38 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, size: int = GRAM, min_ch
     case) are one class whatever their length. Rows that repeat an id are the same document.
     """
     lines = _lines(docs.select("doc_id", "text"), min_chars)
-    signed = lines.select("doc_id", "pos", "id", _shingles("line", size).alias("s"))
-    signed = signed.select("doc_id", "pos", "id", "s", F.size("s").alias("n"))
-    signed = signed.select("doc_id", "pos", "id", F.col("n").cast("long").alias("n"), _bands("s", "n", percent).alias("bands"))
-    rows = saved(signed, "line-bands")
-
-    posts = rows.select(F.explode("bands").alias("key"), "id", "n")
-    shared = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    live = saved(posts.join(shared, "key", "left_semi").distinct(), "line-live")
-
-    ids = saved(live.select("id").distinct(), "line-ids")
-    sets = saved(_semi(lines.select("id", "line"), ids).dropDuplicates(["id"]).select("id", F.col("line").alias("s")), "line-sets")
-    of = lambda s: _shingles(s, size)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        both = both.select("a", "b", of("x").alias("x"), of("y").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        return saved(both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"), "line-links")
-
-    heads = saved(central(live).select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("ln")), "line-heads")
-    near = (F.col("id") != F.col("lead")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
-    links = verified(live.join(heads, "key").where(near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    parts = components(links)
-    links = links.unionByName(verified(_unconnected(live, heads, parts, sets, percent, of)))
-    discard(parts, live, heads, ids, sets)
-    parts = components(links)
-
-    keep = rows.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("k"), F.count("*").alias("copies"))
-    keep = saved(keep.join(parts, "id", "left").where("copies > 1 or component is not null").select("id", "k", F.coalesce("component", "id").alias("component")), "line-keep")
+    rows = saved(lines.select("doc_id", "pos", "id"), "line-rows")
+    least = saved(rows.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("k"), F.count("*").alias("copies")), "line-least")
+
+    minima = saved(_minima(lines.select("id", "line")), "line-minima")
+    short = lines.where(F.length("line") <= SHORT).select("id", "line").dropDuplicates(["id"]).select("id", _shingles("line", size, ordered=True).alias("s"))
+    short = saved(short.select("id", "s", F.size("s").alias("n")).select("id", _bands("s", "n", percent).alias("keys")), "line-short")
+    posts = _minima_bands(minima).unionByName(short.select(F.explode("keys").alias("key"), "id"))
+    shared = saved(posts.groupBy("key").count().where("count > 1").select("key"), "line-shared")
+    live = saved(_semi(posts, shared), "line-live")
+    heads = saved(central(live.withColumn("n", F.lit(0))).select("key", F.col("lead.id").alias("lead")), "line-heads")
+    first = live.join(heads, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    first = saved(_alike(first, minima), "line-first")
+    discard(minima, short, shared)
+
+    texts = lambda pairs: saved(_texts(lines, least, pairs), "line-texts")
+    met = texts(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    one = saved(_verified(first, met, percent, size), "line-links")
+    discard(met, first)
+    parts = components(one)
+    apart = saved(_apart(live, heads, parts), "line-apart")
+    met = texts(apart.select(F.explode(F.array("id", "lead")).alias("id")).distinct())
+    rest = _unconnected(apart, met.withColumnRenamed("line", "s"), percent, lambda s: _shingles(s, size))
+    two = saved(_verified(rest, met, percent, size), "line-links")
+    discard(parts, rest, live, heads, apart, met)
+    parts = components(one.unionByName(two))
+    discard(one, two)
+
+    keep = saved(least.join(parts, "id", "left").where("copies > 1 or component is not null").select("id", "k", F.coalesce("component", "id").alias("component")), "line-keep")
+    discard(parts, least)
     best = keep.groupBy("component").agg(F.min("k").alias("k"))
     stays = keep.select("id", "component").join(best, "component").select("id", F.col("k.doc_id").alias("keep_doc"), F.col("k.pos").alias("keep_pos"))
-    return rows.select("doc_id", "pos", "id").join(stays, "id").where("doc_id <> keep_doc or pos <> keep_pos").select("doc_id", "pos", "keep_doc", "keep_pos")
+    return rows.join(stays, "id").where("doc_id <> keep_doc or pos <> keep_pos").select("doc_id", "pos", "keep_doc", "keep_pos")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, size: int = GRAM, min_chars: int = 16) -> DataFrame:
