@@ -173,16 +173,18 @@ def _unconnected(apart: DataFrame, sets: DataFrame, percent: int, of: Callable[[
     more, less = F.lit(100 + percent), F.lit(100 - percent)
     d = d.withColumn("nd", F.size("d").cast("long")).withColumn("linked", more * F.col("nd") <= less * (F.col("n") + F.col("ln")))
     least = F.when(F.col("linked"), (more * F.col("nd") + less * (F.col("ln") - F.col("n"))) / (2.0 * more)).otherwise(F.col("nd") - less * F.col("n") / F.lit(float(percent)))
-    kept = F.greatest(F.lit(0), F.col("nd") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1).cast("int")
-    edits = saved(d.select("lead", "id", "n", "c", "nd", "linked", (F.col("nd") - kept).alias("rest"), F.posexplode(F.slice("d", F.lit(1), kept)).alias("k", "t")), "line-edits")
-    side = lambda x: edits.select("lead", "t", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "nd", "linked", "rest", "k")])
-    pairs = side("a").join(side("b"), ["lead", "t"]).where("id_a < id_b and c_a <> c_b and not (linked_a and linked_b)")
+    kept = F.greatest(F.lit(0).cast("long"), F.col("nd") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1).cast("int")
+    lines = saved(d.select("lead", "id", "n", "c", "nd", (F.col("nd") - kept).alias("rest"), F.slice("d", F.lit(1), kept).alias("d")), "line-edits")
+    edits = lines.select("lead", "id", "c", F.posexplode("d").alias("k", "t"), "nd").select("lead", "t", "id", "c", (F.col("nd") - F.col("k")).cast("int").alias("left"))
+    x, y = edits.alias("x"), edits.alias("y")  # alike, so that they are shuffled once
+    met = x.join(y, F.expr("x.lead = y.lead and x.t = y.t and x.id < y.id and x.c <> y.c"))
+    met = met.groupBy(F.col("x.lead").alias("lead"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.max(F.least("x.left", "y.left")).alias("left"), F.count("*").alias("met"))
+    side = lambda z: lines.select("lead", F.col("id").alias(z), *[F.col(c).alias(f"{c}_{z}") for c in ("n", "nd", "rest")])
+    pairs = met.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"])
     pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    need = more * (F.col("nd_a") + F.col("nd_b")) - less * (F.col("n_a") + F.col("n_b"))
-    left = F.max(F.least(F.col("nd_a") - F.col("k_a"), F.col("nd_b") - F.col("k_b")))  # at the first that they share
-    pairs = pairs.groupBy("lead", F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.least(left, F.count("*") + F.max(F.greatest("rest_a", "rest_b"))).alias("most"), F.max(need).alias("need"))
-    out = pairs.where(2 * more * F.col("most") >= F.col("need")).select("a", "b").distinct()
-    out._work_path = edits._work_path
+    most = F.least("left", F.col("met") + F.greatest("rest_a", "rest_b"))
+    out = pairs.where(2 * more * most >= more * (F.col("nd_a") + F.col("nd_b")) - less * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    out._work_path = lines._work_path
     return out
 
 
