@@ -445,11 +445,34 @@ def test_fingerprints(spark, docs, odd, none):
     # Sums: the vector of two paragraphs is that of the one and that of the other, modulo powers.
     v = {r["k"]: r for r in fingerprint.paragraph_vectors(spark.createDataFrame([(0, "a b\nc d e"), (1, "a b"), (2, "c d e")], "k int, text string"), ["k"]).collect()}
     assert all((v[1][c] + v[2][c] - v[0][c]) % 2**32 == 0 for c in v[0].asDict() if c != "k")
-    assert fingerprint.edited_fingerprints(odd).count() == len(ROWS) - 1 and fingerprint.edited_fingerprints(none).count() == 0
-    many = spark.range(0, 500, 7).selectExpr("id * id AS doc_id", "cast(id AS string) AS text")
-    nxt = {r["doc_id"]: r["next_id"] for r in fingerprint.with_next(many, 5).collect()}
-    ids = sorted(nxt)
-    assert all(nxt[a] == ids[(i + 1) % len(ids)] for i, a in enumerate(ids))
+    assert fingerprint.edited_fingerprints(odd).count() == len(ROWS) and fingerprint.edited_fingerprints(none).count() == 0
+
+
+@pytest.mark.parametrize("most_cuts", [500, 2])
+def test_fingerprints_find_the_next_document_across_ranges(spark, monkeypatch, most_cuts):
+    monkeypatch.setattr(fingerprint, "MOST_CUTS", most_cuts)
+    rows = [(i * i, "t%04d " % i * 4) for i in range(0, 500, 7)] + [(-(2**63), "least " * 9), (2**63 - 1, "greatest " * 7), (0, "another zero " * 3), (49, "t0007 " * 4), (49, "t0007 " * 4)]
+    df = spark.createDataFrame([*rows, (None, "no id " * 5), (None, "no id " * 5)], "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprint.edited_fingerprints(df, 5).collect())
+    order, want = sorted(set(rows)), Counter()
+    for i, (d, t) in enumerate(order):
+        k = len(t) // 4
+        edited = t[: len(t) - k] + order[(i + 1) % len(order)][1][:k]
+        want[d, hashlib.sha256(edited.encode()).hexdigest()] += rows.count((d, t))
+    want[None, hashlib.sha256(("no id " * 5)[:23].encode()).hexdigest()] += 2
+    assert got == want
+    one = spark.createDataFrame([(7, "alone in here")], "doc_id bigint, text string")
+    r = fingerprint.edited_fingerprints(one).first()
+    assert r["edited_sha256"] == hashlib.sha256(b"alone in halo").hexdigest() and r["near_next"] == 1.0
+
+
+def test_fingerprints_combine(spark):
+    texts = [(1, "a b c\nd e\nf"), (2, "d e"), (3, "a b c\nf"), (4, "f\nd e"), (5, "a b c")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    f = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(df).collect()}
+    two = spark.createDataFrame([(f[3], f[2], f[1], f[5])], "c string, d string, a string, e string")
+    r = two.select(fingerprint.combine("c", "d").alias("put"), fingerprint.combine("a", "d", -1).alias("out"), fingerprint.combine(fingerprint.combine("a", "e", -1), F.col("e")).alias("same"), fingerprint.combine("a", "e", -1).alias("rest")).first()
+    assert (r["put"], r["out"], r["same"], r["rest"]) == (f[1], f[3], f[1], f[4])
 
 
 def test_fingerprints_estimate_likeness_within_the_error_of_128_lanes(spark):
