@@ -5,8 +5,10 @@ and max-pooled over overlapping chunks of two blocks of `BLOCK` bytes (a chunk b
 chunks' mean goes through a logistic unit. So the whole document counts, whatever its length.
 
 The network is fitted on the driver on a bounded sample of labelled documents: of either class up to
-`SAMPLE` documents of at most `SAMPLE_BYTES` bytes, those least by a hash of their id. Classes are weighed
-back to their share among all labels of the training folds. Scoring runs over Arrow batches.
+`SAMPLE` documents, those least by a hash of their id, whatever their length. A document of more than
+`SAMPLE_BYTES` bytes stands in the sample by as many, in blocks spread evenly from its first byte to its last.
+Classes are weighed back to their share among all labels of the training folds. Scoring runs over Arrow
+batches, on whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from orrery.llm.common import bounded_batches, byte_slices, table, utf8
 
 WIDTH, FILTERS, BLOCK = 4, 16, 512
-SAMPLE, SAMPLE_BYTES = 700, 16_000
+SAMPLE, SAMPLE_BYTES = 700, 32 * 512
 EPOCHS, RATE, SEED = 14, 0.02, 7
 #: Bytes that the kernel scores at once.
 KERNEL_BYTES = 1 << 18
@@ -40,13 +42,17 @@ class ByteCNN:
             end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + KERNEL_BYTES, side="right")) - 1)
             if end == row + 1:
                 sums, n = self._long(data[offsets[row] : offsets[end]])
-                logits = np.array([sums @ self.weights / n + self.offset])
+                logits = self._logits(sums[None], n)
             else:
                 logits = self._run(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
             out[row:end] = 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
             row = end
         return out
 
+    def _logits(self, sums, chunks):
+        """Of each row alone, in an order of its own: a text scores the same in any batch."""
+        return (sums * self.weights).sum(1) / chunks + self.offset
+
     def _pooled(self, padded: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Maxima of the rectified responses from each start to the next, over padded bytes."""
         n = len(padded) - WIDTH + 1
@@ -74,8 +80,8 @@ class ByteCNN:
         chunk[:-1][same] = np.maximum(m[:-1][same], m[1:][same])
         keep = np.ones(len(doc), bool)
         keep[first[1:] - 1] = blocks == 1
-        sums = np.add.reduceat(np.where(keep[:, None], chunk, 0), first[:-1])
-        return sums @ self.weights / np.maximum(blocks - 1, 1) + self.offset
+        sums = np.add.reduceat(np.where(keep[:, None], chunk, 0).astype(float), first[:-1])
+        return self._logits(sums, np.maximum(blocks - 1, 1))
 
     def _long(self, data):
         """Sum of the chunks' vectors and their number for one document, by pieces of bounded size."""
@@ -86,9 +92,9 @@ class ByteCNN:
             piece[: len(data[a : a + len(piece)])] = data[a : a + len(piece)]
             m = self._pooled(piece, np.arange(0, min(step, n - a), BLOCK))
             if before is not None:
-                total += np.maximum(before, m[0])
+                total += np.maximum(before, m[0]).astype(float)
                 chunks += 1
-            total += np.maximum(m[:-1], m[1:]).sum(0)
+            total += np.maximum(m[:-1], m[1:]).sum(0, dtype=float)
             chunks += len(m) - 1
             before = m[-1]
         return (total, chunks) if chunks else (before.astype(float), 1)
@@ -163,19 +169,29 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _spread(text):
+    """The bytes that a document trains with: all, or SAMPLE_BYTES of them in blocks spread over the whole."""
+    blocks = SAMPLE_BYTES // BLOCK
+    step = (F.octet_length(text) - BLOCK) / F.lit(float(blocks - 1))
+    block = lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(BLOCK))
+    parts = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: block(i)), F.lit(b""), lambda a, b: F.concat(a, b))
+    return F.when(F.octet_length(text) <= SAMPLE_BYTES, text).otherwise(parts)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteCNN:
     """Fit on at most `sample` documents of either class from the training folds.
 
     Labels that are null or neither 0 nor 1, and ids without a document, are passed over; of several
-    labels of an id the least counts.
+    labels of an id the least counts, of several texts the least. The driver holds at most
+    2 * sample * SAMPLE_BYTES bytes of text.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     ids = picked[0].unionByName(picked[1]).toPandas()
     chosen = docs.sparkSession.createDataFrame(list(zip(map(int, ids["doc_id"]), map(int, ids["quality"]), strict=True)), "doc_id long, quality int")
-    texts = docs.select("doc_id", utf8("text").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    texts = docs.select("doc_id", utf8("text").alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", _spread(F.col("text")).alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     found = found.toPandas().sort_values("doc_id")
     y = found["quality"].to_numpy(float)
     weight = np.array([counts.get(q, 0) / max(1, (y == q).sum()) for q in (0, 1)])[y.astype(int)] if len(y) else np.zeros(0)
@@ -201,6 +217,12 @@ def score(docs: DataFrame, model: ByteCNN, threshold: float = 0.3) -> DataFrame:
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
+def rejected(docs: DataFrame, model: ByteCNN, threshold: float = 0.3) -> DataFrame:
+    """(doc_id, text_hash) of the documents that score under the threshold; text_hash is xxhash64 of the text, null as empty."""
+    out = score(docs.select("doc_id", "text"), model, threshold).where("predicted = 0")
+    return out.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).distinct()
+
+
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
