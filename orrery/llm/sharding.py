@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve over quantised metadata, in DataFrame and SQL functions only.
 
 Source, language and size are quantised to `BITS` bits each by their corpus-wide quantiles (order
-preserving, so files of a run have narrow minima and maxima in every dimension). The cell's index on the
+preserving, so files of a run have narrow minima and maxima in every dimension; strings by their whole value,
+from a count of the documents that have each). The cell's index on the
 Hilbert curve orders the documents, and the order is cut into runs of equal length (law `rows`).
 
 The global position of a row is the number of rows in earlier buckets plus its rank in its own. A bucket
@@ -53,9 +54,20 @@ def _curve(dimensions: list[Column]) -> Column:
     return F.element_at(F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>"), cell + 1)
 
 
-def _code(col: str) -> Column:
-    """A string's first six bytes as a number: keeps the order of code points; null is least."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+def _levels(df: DataFrame, col: str, total: int) -> DataFrame:
+    """(col, <col>_level) for every value of a string column: the part of the documents in code point order that its middle lies in.
+
+    Null comes first. Values are summed by their first bytes, and in order among those of the same first bytes:
+    what one window orders is a row per value or per beginning, never per document.
+    """
+    begin = F.coalesce(F.hex(F.substring(F.col(col).cast("binary"), 1, 3)), F.lit("-"))
+    n = df.groupBy(col).agg(F.count("*").alias("__n")).withColumn("__begin", begin)
+    sums = n.groupBy("__begin").agg(F.sum("__n").alias("__s"))
+    starts = sums.select("__begin", (F.sum("__s").over(Window.orderBy("__begin")) - F.col("__s")).alias("__start"))
+    upto = F.sum("__n").over(Window.partitionBy("__begin").orderBy(F.col(col).cast("binary")))
+    middle = F.col("__start") + F.col("__upto") - F.col("__n") / 2
+    level = F.least(F.lit((1 << BITS) - 1), F.floor(middle * (1 << BITS) / F.lit(float(max(total, 1)))))
+    return n.withColumn("__upto", upto).join(starts, "__begin").select(F.col(col).alias("__value"), level.cast("int").alias(f"{col}_level"))
 
 
 def _quantised(value: Column, cuts: list) -> Column:
@@ -88,11 +100,14 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, bucket_rows: int = BUCKET_
     text = F.coalesce("text", F.lit(""))
     have = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")]
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *have, (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    narrow = saved(narrow.withColumn("source_code", _code("source")).withColumn("lang_code", _code("lang")), "shard-meta")
+    narrow = saved(narrow, "shard-meta")
     at = [i / (1 << BITS) for i in range(1, 1 << BITS)]
-    found = narrow.agg(F.count("*").alias("n"), *[F.percentile_approx(c, at, 10_000).alias(c) for c in ("source_code", "lang_code", "size")]).first()
-    dims = [_quantised(F.col(c), sorted(set(found[c] or []))) for c in ("source_code", "lang_code", "size")]
-    placed = ranked(narrow.withColumn("cell", _curve(dims)).drop("source_code", "lang_code"), "cell", ["text_crc32", "size", "doc_id"], bucket_rows)
+    found = narrow.agg(F.count("*").alias("n"), F.percentile_approx("size", at, 10_000).alias("size")).first()
+    for c in ("source", "lang"):
+        levels = _levels(narrow, c, found["n"])
+        narrow = narrow.join(levels, narrow[c].eqNullSafe(levels["__value"])).drop("__value")
+    dims = [F.col("source_level"), F.col("lang_level"), _quantised(F.col("size"), sorted(set(found["size"] or [])))]
+    placed = ranked(narrow.withColumn("cell", _curve(dims)).drop("source_level", "lang_level"), "cell", ["text_crc32", "size", "doc_id"], bucket_rows)
     total = max(found["n"], 1)
     shard = F.expr(f"rank * {shards} div {total}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
