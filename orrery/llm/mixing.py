@@ -105,13 +105,22 @@ def mixed(docs: DataFrame, weights=WEIGHTS, schedules=KNOTS, repeats: int = 3) -
     """docs as the mix takes them, whole: a row per repeat, with `position` (a column of that name goes), range-sorted by it.
 
     The one document per source that the target cuts is here in full. Documents that the mix doesn't take,
-    and those without words, are gone.
+    and those without words, are gone. Equal rows are taken as often as all of them are, with the positions of
+    all of them.
     """
-    plan = plan_mix(docs, weights, schedules, repeats).where(F.size("positions") > 0).dropDuplicates(["row"]).select("row", F.explode("positions").alias("position"))
+    plan = plan_mix(docs, weights, schedules, repeats).select(F.col("row").alias("__mix_row"), F.explode("positions").alias("position"))
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    out = docs.drop("position").withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), source, F.col("text"))).join(plan, "row").drop("row")
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    base = docs.drop("position").withColumn("__mix_row", F.xxhash64(F.col("doc_id").cast("long"), source, F.col("text")))
+    base = base.withColumn("__mix_copy", F.row_number().over(Window.partitionBy("__mix_row").orderBy("__mix_row"))).where("__mix_copy = 1")
+    out = base.join(plan, "__mix_row").drop("__mix_row", "__mix_copy")
+    return in_order(out)
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Range-sorted by `position` and doc_id: the files of the result follow each other in training order."""
+    return df.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def query(spark, sf_dir):
-    return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    plan = plan_mix(table(spark, sf_dir, "documents"))
+    return in_order(plan.select("doc_id", "size", "source_size", "target", "taken", "positions", F.get("positions", F.lit(0)).alias("position")))
