@@ -415,6 +415,7 @@ class FastTable:
             packed |= np.where(fits, one[rest] << (8 * k), 0)
             used, count = used + np.where(fits, bits[rest], 0), count + fits
         self.used, self.count, self.packed = used, count, packed.astype(np.uint32)
+        self.lengths = np.array(lengths[:256])
         self.entries = None
 
     def steps(self):
@@ -425,10 +426,14 @@ class FastTable:
 
 
 def _decode_run(streams: list[bytes], start: int, sizes: list[int], t: FastTable) -> list[bytes]:
-    """The samples of streams of one code, whose first stands at bit `start`."""
+    """The samples of streams of one code, whose first stands at bit `start`.
+
+    A stream that is too short reads on beyond its end; the bits that its samples take give it away.
+    """
     order = sorted(range(len(streams)), key=lambda i: -sizes[i])
     base = np.cumsum([0] + [len(streams[i]) + 8 for i in order])
-    data = np.frombuffer(b"".join(streams[i] + b"\0" * 8 for i in order) + b"\0" * 8, np.uint8)
+    farthest = max((int(base[k]) + start // 8 + 2 * sizes[i] for k, i in enumerate(order)), default=0)
+    data = np.frombuffer(b"".join(streams[i] + b"\0" * 8 for i in order) + b"\0" * max(8, farthest + 16 - int(base[-1])), np.uint8)
     window = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     places = np.cumsum([0] + [sizes[i] + 8 for i in order])
     out = np.zeros(places[-1] + 8, np.uint8)
@@ -450,7 +455,7 @@ def _decode_run(streams: list[bytes], start: int, sizes: list[int], t: FastTable
     found = [done[places[k] : places[k] + sizes[i]] for k, i in enumerate(order)]
     entries = t.steps() if len(rows) else None
     for k, a, b in zip(rows.tolist(), at.tolist(), bit.tolist(), strict=True):
-        stream, n, b = streams[order[k]] + b"\0\0\0", sizes[order[k]], b - int(base[k]) * 8
+        stream, n, b = streams[order[k]] + b"\0" * (3 + 2 * sizes[order[k]]), sizes[order[k]], b - int(base[k]) * 8
         parts, size = [found[k][: a - places[k]]], a - int(places[k])
         while size < n:
             i = b >> 3
@@ -459,7 +464,8 @@ def _decode_run(streams: list[bytes], start: int, sizes: list[int], t: FastTable
             size += len(samples)
             b += used
         found[k] = b"".join(parts)[:n]
-        if b > 8 * len(stream):
+    for k, i in enumerate(order):
+        if start + int(t.lengths[np.frombuffer(found[k], np.uint8)].sum()) > 8 * len(streams[i]):
             raise ValueError("the image ends early")
     result: list = [None] * len(streams)
     for k, i in enumerate(order):
