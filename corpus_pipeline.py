@@ -6,8 +6,14 @@
 3. `near_duplicates`: of each group of documents linked by a Jaccard similarity of 0.8 or more over word
    5-grams, the one with the least id stays.
 4. `mix`: sources are taken to their target weights along the curriculum; a document stands once for every
-   time it is taken, in training order.
-5. `tokens`: byte-level BPE ids of every whole text, with digests of the ids and of the bytes decoded.
+   time it is taken. The files that this stage writes follow each other in training order; its columns are those
+   of documents, so the training position itself isn't one.
+5. `tokens`: byte-level BPE ids of every whole text, with digests of the ids and of the bytes decoded; a row
+   for every row of the mix, in no order.
+
+All stages take null, empty, blank and repeated rows, columns of any other name, and empty tables: a null or
+empty text is scored as an empty one, and what is kept of it passes the stages to 3 and leaves in 4, which takes
+documents with words only.
 """
 
 from __future__ import annotations
@@ -17,10 +23,15 @@ from pyspark.sql import functions as F
 from orrery.llm import bpe, line_dedup, mixing, ngram_join, quality
 from orrery.llm.common import saved, table
 
+#: Rejected documents (16 bytes each) of which a copy may be sent to every executor; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
 
 def _quality(spark, docs, sf_dir):
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 1").select(*docs.columns)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    gone = saved(quality.rejected(docs, model), "pipeline-rejected").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (quality.text_hash() == F.col("__hash")), "left_anti")
 
 
 def _line_dedup(spark, docs, sf_dir):

@@ -7,7 +7,8 @@
 3. A linked pair shares an n-gram among the first n - ceil(t*n) + 1 of both sets (prefix filter). Those
    postings, kept where two classes share them, give candidates in two rounds: first every class with the
    most central class of its key and length band; then, exhaustively, all pairs that share a key but are not
-   connected yet. Links inside a component would not change it and are not looked for.
+   connected yet, counted once for all keys with the same most central class. Links inside a component would
+   not change it and are not looked for.
 4. Candidates are verified exactly: the order is cut into fragments, the overlap of a pair is counted in
    each fragment by itself, and the counts are summed per pair.
 """
@@ -37,8 +38,7 @@ def _sets(words):
     def run(batches):
         for batch in batches:
             for row, data, offsets in byte_slices(batch.column("text")):
-                ids = batch.column("doc_id").slice(row, len(offsets) - 1)
-                yield ids, list(shingle_sets(data, offsets, words))
+                yield batch.select([c for c in batch.schema.names if c != "text"]).slice(row, len(offsets) - 1), list(shingle_sets(data, offsets, words))
 
     return run
 
@@ -49,7 +49,7 @@ def _class(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s).sum() + np.uint64(len(s)) * np.uint64(0xA0761D6478BD642F)]))[0].astype(np.int64))
 
 
-_STATS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64())])
+_STATS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64())])
 
 
 def _stats(words):
@@ -59,12 +59,12 @@ def _stats(words):
         def repeats():
             h, n = np.unique(np.concatenate(block), return_counts=True)
             h, n = h[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), pa.array(n), pa.array(h.view(np.int64))], schema=_STATS)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(n), pa.array(h.view(np.int64))], schema=_STATS)
 
-        for ids, sets in _sets(words)(batches):
+        for rows, sets in _sets(words)(batches):
             n = np.array([len(s) for s in sets], np.int64)
             cid = np.array([_class(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), ids, pa.array(n), pa.array(cid)], schema=_STATS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), rows.column("doc_id"), rows.column("text_hash"), pa.array(n), pa.array(cid)], schema=_STATS)
             block += sets
             held += int(n.sum())
             if held > COUNT_BLOCK:
@@ -142,21 +142,13 @@ def _segments(words, often, slots):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(id_col, n_shingles, component_id) for every row of docs.
-
-    Two texts link when 100 * |A & B| >= percent * |A | B| over their distinct word n-grams (lower-cased
-    A-Z; words are runs of bytes other than ASCII white space; with fewer words the whole sequence is one
-    n-gram). component_id is the least id reachable by links. Null and empty texts, and texts of white
-    space, have no n-grams and link with nothing: their component is their own id. Rows with a null id are
-    returned with their size and a null component unless they belong to a class with an id, and then have
-    its component; repeated rows are repeated in the result. Other columns are not read.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n, component_id) for every row of docs; see ngram_jaccard_components."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    stats = saved(texts.mapInArrow(_stats(words), "kind int, doc_id long, n long, cid long"), "ngram-stats")
-    members = stats.where("kind = 0").select("doc_id", "n", "cid")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    stats = saved(texts.mapInArrow(_stats(words), "kind int, doc_id long, text_hash long, n long, cid long"), "ngram-stats")
+    members = stats.where("kind = 0").select("doc_id", "text_hash", "n", "cid")
     top = stats.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cid").limit(FREQUENT).toPandas()
     hashes = top["cid"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hashes)
@@ -192,10 +184,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     links = [verified(first)]
     parts = components(links[0])
 
-    rest = bridges(live, parts)
-    short, long = F.least("na", "nb"), F.greatest("na", "nb")
-    some = rest.where(100 * short >= percent * long).groupBy("a", "na", "b", "nb").count()
-    some = some.where(F.col("count") + long - prefix(long) >= required(F.col("na"), F.col("nb"))).drop("count")
+    rest = bridges(live, parts, percent)
+    long = F.greatest("na", "nb")
+    some = rest.where(F.col("shared") + long - prefix(long) >= required(F.col("na"), F.col("nb"))).select("a", "na", "b", "nb")
     links.append(verified(some))
     discard(live, rest, parts)
     parts = components(reduce(DataFrame.unionByName, links))
@@ -205,18 +196,40 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     named = saved(named, "ngram-named")
     low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = named.join(low, "component").select("cid", "component_id")
-    out = members.join(classes, "cid", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return members.join(classes, "cid", "left").select("doc_id", "text_hash", "n", component.alias("component_id"))
+
+
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(id_col, n_shingles, component_id) for every row of docs.
+
+    Two texts link when 100 * |A & B| >= percent * |A | B| over their distinct word n-grams (lower-cased
+    A-Z; words are runs of bytes other than ASCII white space; with fewer words the whole sequence is one
+    n-gram). component_id is the least id reachable by links. Null and empty texts, and texts of white
+    space, have no n-grams and link with nothing: their component is their own id. Rows with a null id are
+    returned with their size and a null component unless they belong to a class with an id, and then have
+    its component; repeated rows are repeated in the result. Other columns are not read.
+    """
+    out = _linked(docs, id_col, text_col, words, percent)
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that carry their component's id: one document of each near-duplicate group.
+    """docs with one document of each near-duplicate group: that of the least (doc_id, xxhash64 of the text).
 
-    Rows without an id are kept; a repeated id stays once when its group is larger than itself.
+    Rows are judged by id and text, so that a repeated id loses no text of another group; rows equal in both
+    are one document and stand once. Texts without words are in no group. Rows without an id are kept.
     """
-    found = ngram_jaccard_components(docs, words=words, percent=percent)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    found = saved(_linked(docs, "doc_id", "text", words, percent).where("doc_id is not null and n > 0"), "ngram-found")
+    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    gone = found.join(best, "component_id").where("doc_id <> best.doc_id or text_hash <> best.text_hash")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(utf8("text")) == F.col("__hash"))
+    kept = docs.join(gone, own, "left_anti").select(*docs.columns)
+    again = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark, sf_dir):

@@ -217,10 +217,15 @@ def score(docs: DataFrame, model: ByteCNN, threshold: float = 0.3) -> DataFrame:
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
+def text_hash():
+    """What tells texts of one id apart; null is empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def rejected(docs: DataFrame, model: ByteCNN, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, text_hash) of the documents that score under the threshold; text_hash is xxhash64 of the text, null as empty."""
+    """(doc_id, text_hash) of the documents that score under the threshold; a row each."""
     out = score(docs.select("doc_id", "text"), model, threshold).where("predicted = 0")
-    return out.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).distinct()
+    return out.select("doc_id", text_hash().alias("text_hash")).distinct()
 
 
 def query(spark, sf_dir):
