@@ -201,26 +201,28 @@ def leads(postings: DataFrame, band=None) -> DataFrame:
     return pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
 
 
-def bridges(postings: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Of rows (key, id, n), the pairs (a, na, b, nb, shared) that share keys but not a component, with their number.
-
-    `parts` has (id, component); other ids are their own. Keys with the same most central id are one group, in
-    which an id stands once, with its keys as an array: a pair is met once a group, not once a key, and its
-    counts by group are summed. A group's components are paired first and their members joined on afterwards,
-    so that a group of one large component costs nothing. Pairs whose sizes n are too far apart for a similarity
-    of `percent` are left out. The members of a group that link with nothing else in it are still compared with
-    each other: that grows with the square of their number, not the rows that come out.
+def bridges(postings: DataFrame, parts: DataFrame, percent: int, enough: str) -> DataFrame:
+    """Of rows (key, id, n), the pairs (a, na, b, nb) that share enough keys but not a component.
+
+    `parts` has (id, component); other ids are their own. `enough` is SQL over na, nb and shared, the number of
+    keys that both have. Keys with the same most central id are one group, in which an id stands once: a pair
+    is met once a group, not once a key. A group's components are paired first and their members joined on
+    afterwards, so that a group of one large component costs nothing; only pairs with sizes n that a similarity
+    of `percent` allows and with enough shared keys come out. The members of a group that link with nothing else
+    in it are still compared with each other, which grows with the square of their number.
     """
     heads = central(postings).select("key", F.col("lead.id").alias("lead"))
-    p = postings.join(heads, "key").join(parts, "id", "left").select("lead", "key", "id", "n", F.coalesce("component", "id").alias("c"))
+    p = postings.join(heads, "key").join(parts, "id", "left").select("lead", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = p.groupBy("lead").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("lead")
-    p = p.join(mixed, "lead", "left_semi").groupBy("lead", "id", "n", "c").agg(F.collect_list("key").alias("keys"))
-    p = saved(p, "mixed")
-    kc = p.select("lead", "c").distinct()
-    cc = kc.select("lead", F.col("c").alias("ca")).join(kc.select("lead", F.col("c").alias("cb")), "lead").where("ca < cb")
+    p = p.join(mixed, "lead", "left_semi").distinct()
+    p = saved(p.join(postings.groupBy("id").agg(F.collect_list("key").alias("keys")), "id"), "mixed")
+    kc = p.groupBy("lead", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = kc.alias("x"), kc.alias("y")
+    cc = x.join(y, F.expr(f"x.lead = y.lead and x.c < y.c and 100 * least(x.hi, y.hi) >= {percent} * greatest(x.lo, y.lo)"))
+    cc = cc.select("x.lead", F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
     left = p.select(F.col("lead").alias("l"), F.col("c").alias("x"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
     right = p.select(F.col("lead").alias("r"), F.col("c").alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    met = cc.join(left, F.expr("lead = l and ca = x")).join(right, F.expr(f"lead = r and cb = y and 100 * least(na, nb) >= {percent} * greatest(na, nb) and arrays_overlap(ka, kb)"))
-    out = met.select("a", "na", "b", "nb", F.size(F.array_intersect("ka", "kb")).alias("k")).groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("shared"))
+    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {enough.replace('shared', 'size(array_intersect(ka, kb))')}"
+    out = cc.join(left, F.expr("lead = l and ca = x")).join(right, F.expr(f"lead = r and cb = y and {near}")).select("a", "na", "b", "nb").distinct()
     out._work_path = p._work_path
     return out

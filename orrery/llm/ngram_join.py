@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of word n-grams (64-bit hashes). Equal sets are one class, named by a
    64-bit hash of the set; only classes are joined, so copies never pair up.
-2. N-grams that repeat inside a task are counted over the whole corpus; the `FREQUENT` most frequent
+2. N-grams that repeat inside a task, in different sets, are counted over the whole corpus; the `FREQUENT` most frequent
    come last in the global order, all others before them by hash. The order decides speed only.
 3. A linked pair shares an n-gram among the first n - ceil(t*n) + 1 of both sets (prefix filter). Those
    postings, kept where two classes share them, give candidates in two rounds: first every class with the
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import bounded_batches, bridges, byte_slices, components, discard, leads, mix, saved, shingle_sets, utf8
 
 #: Entries of the list of frequent n-grams (16 bytes each), whatever the corpus.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: The rare part of the order is cut into this many fragments; the frequent n-grams are one more.
 RARE_FRAGMENTS = 7
 #: Slots of the map of documents to verify.
@@ -54,7 +54,7 @@ _STATS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash",
 
 def _stats(words):
     def run(batches):
-        block, held = [], 0
+        block, held, seen = [], 0, set()
 
         def repeats():
             h, n = np.unique(np.concatenate(block), return_counts=True)
@@ -65,8 +65,11 @@ def _stats(words):
             n = np.array([len(s) for s in sets], np.int64)
             cid = np.array([_class(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), rows.column("doc_id"), rows.column("text_hash"), pa.array(n), pa.array(cid)], schema=_STATS)
-            block += sets
-            held += int(n.sum())
+            for c, x in zip(cid.tolist(), sets, strict=True):
+                if c not in seen:  # copies of a text count once
+                    seen.add(c)
+                    block.append(x)
+                    held += len(x)
             if held > COUNT_BLOCK:
                 yield repeats()
                 block, held = [], 0
@@ -159,7 +162,6 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     live = saved(posts.join(shared, "key", "left_semi").distinct(), "ngram-live")
     discard(posts)
 
-    required = lambda na, nb: F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9)
     prefix = lambda n: n - F.ceil(n * percent / 100.0 - 1e-9) + 1
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -184,10 +186,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     links = [verified(first)]
     parts = components(links[0])
 
-    rest = bridges(live, parts, percent)
-    long = F.greatest("na", "nb")
-    some = rest.where(F.col("shared") + long - prefix(long) >= required(F.col("na"), F.col("nb"))).select("a", "na", "b", "nb")
-    links.append(verified(some))
+    # What both have beyond their prefixes is at most what the longer one has there.
+    least = f"ceil({percent} * (na + nb) / {100.0 + percent} - 1e-9)"
+    rest = bridges(live, parts, percent, f"shared + ceil(greatest(na, nb) * {percent / 100} - 1e-9) - 1 >= {least}")
+    links.append(verified(rest))
     discard(live, rest, parts)
     parts = components(reduce(DataFrame.unionByName, links))
 

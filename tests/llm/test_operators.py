@@ -64,6 +64,34 @@ def test_ngram_join_equals_brute_force_with_a_hub(spark, odd, none):
     assert kept == Counter([0, 2, 3, 4, 5, None, 7, 8])
 
 
+def test_ngram_join_with_several_hubs_in_a_bucket(spark):
+    rng = np.random.default_rng(4)
+    shared = [f"s{i}" for i in range(90)]  # a passage in every text: all meet in the same buckets
+    texts, of = [], {}
+    for hub in range(4):
+        own = [f"h{hub}x{i}" for i in range(0, 30 + 8 * hub)]
+        for _ in range(14):  # variants of a hub, some within the threshold of it, some of each other only
+            w = shared + own
+            for at in rng.choice(len(w), int(rng.integers(0, 5)), replace=False):
+                w[at] = f"e{int(rng.integers(0, 6))}"
+            of[len(texts)] = hub
+            texts.append((len(texts) * 3, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    for words, percent in ((4, 85), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_components(df, words=words, percent=percent).collect()}
+        want = brute_components(texts, words, percent)
+        assert got == want and len({c for _, c in want.values()}) > 4
+
+
+def test_one_of_each_group_with_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a.replace("a59", "z")
+    rows = [(1, a), (2, near), (2, b), (3, b), (4, "alone"), (4, "alone"), (5, a), (5, near), (None, a), (6, None), (6, None), (7, " ")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, text_hash int, n int")
+    got = Counter((r["doc_id"], r["text"]) for r in ngram_join.one_of_each_group(df).collect())
+    assert got == Counter([(1, a), (2, b), (4, "alone"), (None, a), (6, None), (6, None), (7, " ")])
+
+
 def test_warc_round_trip(spark, none):
     pages = [(5, "u\r\nx", "same" * 50000), (3, None, "same" * 50000), (9, "v", "same" * 50000), (1, "q", None), (2, "q", ""), (4, "q", "héllo\r\n\r\nWARC/1.1"), (None, "z", "no id")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id bigint, url string, html string, payload int")
@@ -101,6 +129,60 @@ def test_quality_on_held_out_rows(spark, docs, odd, none):
     assert quality.train(docs, labels.where("false")).score(data, np.array([0, 0, 9])).shape == (2,)
 
 
+def test_quality_scores_by_brute_force_alone_and_in_any_batch():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(0, 256, int(n), dtype=np.uint8)) for n in (0, 1, 3, 511, 512, 513, 1024, 1025, 3000, quality.KERNEL_BYTES + 700)]
+    model = quality.ByteCNN(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(0, 0.1, quality.FILTERS).astype(np.float32), rng.normal(0, 0.4, quality.FILTERS), 0.1)
+
+    def plain(t):
+        t = t or b"\0"
+        padded = np.frombuffer(t + b"\0" * (quality.WIDTH - 1), np.uint8)
+        r = np.array([sum(model.filters[k][padded[i + k]] for k in range(quality.WIDTH)) for i in range(len(t))]) + model.bias
+        blocks = [np.maximum(r[a : a + quality.BLOCK].max(0), 0) for a in range(0, len(t), quality.BLOCK)]
+        chunks = [np.maximum(x, y) for x, y in zip(blocks, blocks[1:], strict=False)] or blocks
+        return 1 / (1 + np.exp(-(np.mean(chunks, 0) @ model.weights + model.offset)))
+
+    at = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    together = model.score(data, at)
+    assert together == pytest.approx([plain(t) for t in texts], abs=1e-5)
+    alone = [model.score(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    halves = np.concatenate([model.score(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in ((0, 4), (4, len(texts)))])
+    assert together.tolist() == alone == halves.tolist()
+
+
+def test_quality_trains_on_long_documents(spark):
+    long = "".join(chr(97 + i // 5000) for i in range(100_000))
+    df = spark.createDataFrame([("short",), (long,)], "text string").select(quality._spread(F.col("text").cast("binary")).alias("t"))
+    got = [bytes(r["t"]) for r in df.collect()]
+    assert got[0] == b"short" and len(got[1]) == quality.SAMPLE_BYTES and set(got[1]) == set(long.encode()) and got[1][-512:] == long.encode()[-512:]
+
+
+def test_hilbert_order_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "x" * int(rng.integers(0, 300)), [None, "https://a.example/1", "https://a.example/2", "https://b.example", "z"][i % 5], ["en", None, "fr"][i % 3]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").repartition(4)
+    got = sharding.hilbert_shards(df, 7, bucket_rows=50).collect()
+    n, side = len(rows), 1 << sharding.BITS
+
+    def level(values):
+        order = Counter(values)
+        out, before = {}, 0
+        for v in sorted(order, key=lambda x: (x is not None, (x or "").encode())):
+            out[v] = min(side - 1, int((before + order[v] / 2) * side // n))
+            before += order[v]
+        return out
+
+    source, lang = level([r[2] for r in rows]), level([r[3] for r in rows])
+    sizes = sorted(len(r[1]) + 16 for r in rows)
+    cuts = sorted({sizes[max(0, -(-n * i // side) - 1)] for i in range(1, side)})
+    cell = {r[0]: sharding.hilbert_index((source[r[2]], lang[r[3]], sum(len(r[1]) + 16 >= c for c in cuts)), sharding.BITS) for r in rows}
+    assert {r["doc_id"]: r["cell"] for r in got} == cell
+    order = [r["cell"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == sorted(order)  # shards are runs of the curve, and slots follow it
+    assert len({source[s] for s in ("https://a.example/1", "https://a.example/2")}) == 2
+
+
 def test_hilbert_shards(spark, odd, none, tmp_path):
     cells = {sharding.hilbert_index((x, y, z), 2): (x, y, z) for x in range(4) for y in range(4) for z in range(4)}
     assert sorted(cells) == list(range(64))
@@ -146,6 +228,10 @@ def test_mix_meets_targets(spark, docs, odd, none):
     assert all(0 <= p < 1 for ps in rows["positions"] for p in ps)
     assert mixing.plan_mix(odd).count() == len(ROWS) and mixing.plan_mix(none).count() == 0 and mixing.mixed(none).count() == 0
     assert set(mixing.mixed(odd).columns) == {*odd.columns, "position"}
+    same = spark.createDataFrame([(1, "a b c", "s", "kept")] * 3 + [(2, "d e", "s", "too")], "doc_id bigint, text string, source string, row string")
+    rows, plan = mixing.mixed(same).collect(), mixing.plan_mix(same).collect()
+    assert Counter(r["row"] for r in rows) == {"kept": sum(len(p["positions"]) for p in plan if p["doc_id"] == 1), "too": sum(len(p["positions"]) for p in plan if p["doc_id"] == 2)}
+    assert sorted(r["position"] for r in rows) == sorted(x for p in plan for x in p["positions"]) == [r["position"] for r in rows]
 
 
 def test_positions_invert_the_demand(spark):
@@ -421,6 +507,28 @@ def test_webp_back_references_and_colour_cache():
     assert webp.decode_stream(w.bytes())[2].tolist() == [colour] * 6
 
 
+def plain_patience(a, b):
+    """How many words a patience alignment may pair: equal ends, then any longest increasing run of the anchors, then its gaps."""
+    ends = 0
+    while a and b and a[0] == b[0]:
+        a, b, ends = a[1:], b[1:], ends + 1
+    while a and b and a[-1] == b[-1]:
+        a, b, ends = a[:-1], b[:-1], ends + 1
+    anchors = sorted((a.index(w), b.index(w)) for w in set(a) & set(b) if a.count(w) == 1 == b.count(w))
+    runs = [[]]
+    for p in anchors:
+        runs += [[*r, p] for r in runs if not r or r[-1][1] < p[1]]
+    longest = max(map(len, runs))
+    totals = set()
+    for run in (r for r in runs if len(r) == longest > 0):
+        sums, x, y = {ends + longest}, 0, 0
+        for i, j in [*run, (len(a), len(b))]:
+            sums = {t + more for t in sums for more in plain_patience(a[x:i], b[y:j])}
+            x, y = i + 1, j + 1
+        totals |= sums
+    return totals or {ends}
+
+
 def test_licenses(odd, none):
     scanner = licenses.Scanner(licenses.TEMPLATES, 0.9)
     mit = licenses.TEMPLATES["MIT"][2]
@@ -432,6 +540,10 @@ def test_licenses(odd, none):
     for a, b in (("abcbdab", "bdcaba"), ("xaybzc", "abc"), ("", "a"), ("aaaa", "aa")):
         pairs = licenses.patience(list(a), list(b))
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    rng = np.random.default_rng(3)
+    for _ in range(300):  # by its definition: unique common words, their longest increasing run, the gaps in turn
+        a, b = ([str(x) for x in rng.integers(0, 9, int(rng.integers(0, 14)))] for _ in range(2))
+        assert len(licenses.patience(a, b)) in plain_patience(a, b)
     assert licenses.scan_licenses(odd).count() == len(ROWS) and licenses.scan_licenses(none).count() == 0
 
 
@@ -518,4 +630,37 @@ def test_pipeline_stages(spark):
             assert out.columns == docs.columns
         docs = corpus_pipeline.saved(out, "t")
         kept.append(docs.count())
+    assert all(a >= b for a, b in zip(kept, kept[1:4], strict=False))
     assert kept[1] <= kept[0] and kept[3] <= kept[2] <= kept[1] and docs.where("n_tokens is null").count() == 0
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none):
+    import corpus_pipeline
+
+    clashes = odd.withColumns({c: F.lit(1) for c in ("row", "text_hash", "n", "position", "component", "lead")})
+    for start in (clashes, none):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "tokens":
+                assert out.columns == docs.columns, name
+            docs = corpus_pipeline.saved(out, "t")
+        assert docs.count() > 0 if start is clashes else docs.count() == 0
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    want = {r["doc_id"] for r in docs.collect() if model.score(np.frombuffer((r["text"] or "").encode(), np.uint8), np.array([0, len((r["text"] or "").encode())]))[0] >= 0.3}
+    assert {r["doc_id"] for r in stages["quality"](spark, docs, SF).collect()} == want
+    found = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
+    assert {r["doc_id"] for r in stages["near_duplicates"](spark, docs, SF).collect()} == {i for i, (_, c) in found.items() if i == c}
+    plan = {r["doc_id"]: len(r["positions"]) for r in mixing.plan_mix(docs).collect()}
+    assert Counter(r["doc_id"] for r in stages["mix"](spark, docs, SF).collect()) == Counter({i: n for i, n in plan.items() if n})
+    gone = {(r["doc_id"], r["pos"]) for r in line_dedup.duplicate_lines(docs, min_chars=1).collect()}
+    text = {r["doc_id"]: "\n".join(x for i, x in enumerate((r["text"] or "").split("\n")) if (r["doc_id"], i) not in gone) for r in docs.collect()}
+    left = {i: t for i, t in text.items() if t.strip(" \n") or not any(d == i for d, _ in gone)}
+    assert {r["doc_id"]: r["text"] or "" for r in stages["line_dedup"](spark, docs, SF).collect()} == left
