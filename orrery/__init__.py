@@ -1,0 +1,3 @@
+"""Nearest-neighbour analytics on Spark."""
+
+version = "0.2.0"

@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.metrics import TINY, Metric, distances
+from orrery.functions.metrics import TINY, Metric, distance, distances
+from orrery.sources.files import written
 
-#: Bytes of query vectors that are sent to every executor at once; more queries are more blocks.
+#: Bytes of query vectors that the driver holds and every executor gets at once; more queries are more blocks.
 BLOCK_BYTES = 8 << 20
 _PAIRS = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
@@ -73,20 +74,50 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: Metric) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest rows of base (id, vector) for each query (query_id, vector)."""
-    sc = base.sparkSession.sparkContext
+def in_blocks(queries: DataFrame, most: int = BLOCK_BYTES) -> list[DataFrame]:
+    """(query_id, vector) in parts of about `most` bytes of doubles each."""
+    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").cast("array<float>").alias("vector"))
     one = queries.select(F.size("vector")).first()
-    blocks = 1 if one is None else max(1, -(-queries.count() * one[0] * 8 // BLOCK_BYTES))
-    out = None
-    for i in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        got = block.select(F.col("query_id").cast("bigint"), F.col("vector").cast("array<float>")).toArrow()
-        pairs = base.select(F.col("id").cast("bigint"), "vector").mapInArrow(_best(metric, sc.broadcast(got.column(0).to_numpy()), sc.broadcast(matrix(got.column(1))), k), "query_id bigint, id bigint, distance double")
-        out = ranked(pairs, k) if out is None else out.unionByName(ranked(pairs, k))
+    n = 1 if one is None else max(1, -(-queries.count() * one[0] * 8 // most))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def each_block(queries: DataFrame, join) -> DataFrame:
+    """The union of join(ids, matrix) over blocks of queries.
+
+    `join` takes two broadcasts. The driver holds one block at a time: with several, each one's result is
+    written before the next block is fetched, and its broadcasts are freed.
+    """
+    sc, blocks, out = queries.sparkSession.sparkContext, in_blocks(queries), None
+    for block in blocks:
+        got = block.toArrow()
+        shared = sc.broadcast(got.column(0).to_numpy()), sc.broadcast(matrix(got.column(1)))
+        found = join(*shared)
+        if len(blocks) > 1:
+            found = written(found)
+            for b in shared:
+                b.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: Metric) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest rows of base (id, vector) for each query (query_id, vector)."""
+    rows = base.select(F.col("id").cast("bigint"), "vector")
+    return each_block(queries, lambda ids, q: ranked(rows.mapInArrow(_best(metric, ids, q, k), "query_id bigint, id bigint, distance double"), k))
+
+
+def knn_join_expression(queries: DataFrame, base: DataFrame, k: int, metric: Metric) -> DataFrame:
+    """The same by SQL expressions alone: each block of queries is sent to every task of base.
+
+    The rank's limit is applied in every task before anything moves, so that k rows a query and task are shuffled.
+    """
+    out = None
+    for block in in_blocks(queries):
+        pairs = base.select(F.col("id").cast("bigint").alias("id"), "vector").join(F.broadcast(block.withColumnRenamed("vector", "__query")), F.lit(True))
+        found = ranked(pairs.select("query_id", "id", distance(metric, "__query", "vector").alias("distance")), k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def bulk_distances(base: DataFrame, query, metric: Metric) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from orrery.errors import DimensionMismatch, DuplicateId, IndexFull, InvalidParameter, NotFound
 from orrery.functions.metrics import TINY, Metric, distances
-from orrery.operators.bulk import ranked
+from orrery.operators.bulk import each_block, ranked
 from orrery.operators.validate import check_batch, check_dim, check_duplicates, check_query
 
 NODES = "shard int, node int, ordinal bigint, id bigint, level int, vector array<float>, neighbors array<array<int>>"
@@ -66,6 +66,7 @@ class ProximityGraph:
         self.vectors = np.zeros((rows, config.dim))
         self.levels, self.ids, self.ordinals = [], [], []
         self.links: list[list[list[int]]] = []
+        self.seen, self.walks = np.zeros(rows, np.int64), 0  # the last walk that met each node
 
     def _to(self, q: np.ndarray, nodes) -> np.ndarray:
         v = self.vectors[nodes]
@@ -88,17 +89,18 @@ class ProximityGraph:
 
     def _beam(self, q, node, near, ef, level) -> list[tuple[float, int]]:
         """Up to ef nodes near q on a level, by (distance, node)."""
-        seen = np.zeros(len(self.vectors), bool)
-        seen[node] = True
+        self.walks += 1
+        seen, walk = self.seen, self.walks
+        seen[node] = walk
         todo, best = [(near, node)], [(-near, -node)]
         while todo:
             d, at = heapq.heappop(todo)
             if len(best) >= ef and d > -best[0][0]:
                 break
-            fresh = [x for x in self.links[at][level] if not seen[x]]
+            fresh = [x for x in self.links[at][level] if seen[x] != walk]
             if not fresh:
                 continue
-            seen[fresh] = True
+            seen[fresh] = walk
             for d, x in zip(self._to(q, fresh).tolist(), fresh, strict=True):
                 if len(best) < ef:
                     heapq.heappush(best, (-d, -x))
@@ -192,9 +194,9 @@ class GraphIndex:
         return cls.empty(batch.sparkSession, config).add_batch(batch)
 
     @staticmethod
-    def shards_for(rows: int, parallelism: int, least: int = 500) -> int:
-        """Shards of at least `least` and at most SHARD_ROWS rows, one per core where that fits."""
-        return max(1, min(parallelism, rows // least), -(-rows // SHARD_ROWS))
+    def shards_for(rows: int, least: int = 500, few: int = 8) -> int:
+        """Shards of at least `least` rows, `few` of them until they hold SHARD_ROWS each; the same on any cluster."""
+        return max(1, min(few, rows // least), -(-rows // SHARD_ROWS))
 
     def add(self, id: int, vector: Sequence[float]) -> GraphIndex:
         if len(vector) != self.config.dim:
@@ -229,8 +231,15 @@ class GraphIndex:
         return GraphIndex(self.nodes.unionByName(new).groupBy("shard").applyInPandas(grow, NODES), config, start + n)
 
     def cached(self) -> GraphIndex:
-        """The index with its node table kept in memory or on disk, so that it is built once."""
-        return GraphIndex(self.nodes.persist(), self.config, self.next_ordinal)
+        """The index with its node table kept in memory or on disk, so that it is built once.
+
+        It is dealt by shard before it is kept: a search reads every shard where it lies and shuffles no node.
+        """
+        return GraphIndex(self.nodes.repartition(self.config.shards, "shard").persist(), self.config, self.next_ordinal)
+
+    def release(self) -> None:
+        """Give up what `cached` keeps."""
+        self.nodes.unpersist()
 
     def with_ef_search(self, ef: int) -> GraphIndex:
         return GraphIndex(self.nodes, replace(self.config, ef_search=ef), self.next_ordinal)
@@ -238,26 +247,21 @@ class GraphIndex:
     def search(self, query: Sequence[float], k: int, ef: int | None = None) -> DataFrame:
         """Up to k (id, distance) by (distance, id)."""
         check_query(query, self.config.dim, k)
-        return self._walk([(0, list(map(float, query)))], k, ef).select("id", "distance").orderBy("distance", "id").limit(k)
+        sc = self.nodes.sparkSession.sparkContext
+        return self._walk(sc.broadcast(np.zeros(1, np.int64)), sc.broadcast(np.array([query], float)), k, ef).select("id", "distance").orderBy("distance", "id").limit(k)
 
-    def search_batch(self, queries: DataFrame, k: int, ef: int | None = None, block: int = 20_000) -> DataFrame:
-        """(query_id, id, distance, rank) for (query_id, vector), in blocks of at most `block` queries."""
+    def search_batch(self, queries: DataFrame, k: int, ef: int | None = None) -> DataFrame:
+        """(query_id, id, distance, rank) for (query_id, vector), in blocks of bounded bytes."""
         check_batch(queries, self.config.dim)
         check_query([0.0] * self.config.dim, self.config.dim, k)
-        blocks, out = max(1, -(-queries.count() // block)), None
-        for i in range(blocks):
-            part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "vector")
-            found = ranked(self._walk([(r[0], list(r[1])) for r in part.collect()], k, ef), k)
-            out = found if out is None else out.unionByName(found)
-        return out
-
-    def _walk(self, queries, k, ef) -> DataFrame:
+        return each_block(queries, lambda ids, q: ranked(self._walk(ids, q, k, ef), k))
+
+    def _walk(self, ids, queries, k, ef) -> DataFrame:
         config, width = self.config, ef or self.config.ef_search
-        shared = self.nodes.sparkSession.sparkContext.broadcast(queries)
 
         def walk(rows: pd.DataFrame) -> pd.DataFrame:
             g = ProximityGraph.load(config, rows)
-            found = [(q, id, d) for q, v in shared.value for id, d in g.search(v, k, width)]
+            found = [(q, id, d) for q, v in zip(ids.value.tolist(), queries.value, strict=True) for id, d in g.search(v, k, width)]
             return pd.DataFrame(found, columns=["query_id", "id", "distance"])
 
         return self.nodes.groupBy("shard").applyInPandas(walk, "query_id bigint, id bigint, distance double")

@@ -5,16 +5,13 @@ The query vector is that of vec_id 0. Oracle SQL folds in index order in double,
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from orrery.functions.metrics import Metric, inner_product, vector_literal
-from orrery.operators.bulk import bulk_distances
+from orrery.operators.bulk import bulk_distances, knn_join_expression
 from orrery.operators.graph import GraphConfig, GraphIndex, recall
 from orrery.operators.store import VectorStore
+from orrery.sources.files import work_path
 from orrery.sources.snapshot import Snapshot, load_graph, save_graph
 from orrery.sources.vndb import open_vndb, write_vndb
 
@@ -38,11 +35,6 @@ def _queries(spark, sf_dir):
     return _vectors(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
-def _path(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "orrery-work")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _named(df):
     return df.withColumnRenamed("id", "vec_id")
 
@@ -50,7 +42,7 @@ def _named(df):
 def _index(spark, sf_dir, metric=Metric.L2, rows=None):
     rows = _vectors(spark, sf_dir) if rows is None else rows
     n = rows.count()
-    config = GraphConfig(DIM, metric, capacity=max(100_000, 2 * n), shards=GraphIndex.shards_for(n, spark.sparkContext.defaultParallelism))
+    config = GraphConfig(DIM, metric, capacity=max(100_000, 2 * n), shards=GraphIndex.shards_for(n))
     return GraphIndex.build(rows, config).cached()
 
 
@@ -71,6 +63,10 @@ def _join(metric):
     return lambda s, d: _named(_store(s, d, metric).search_batch(_queries(s, d), K))
 
 
+def _join_expression(s, d):
+    return _named(knn_join_expression(_queries(s, d), _store(s, d).df, K, Metric.L2))
+
+
 def _inner(s, d):
     return _named(_vectors(s, d).select("id", inner_product(vector_literal(_query(s, d)), "vector").alias("distance")))
 
@@ -92,13 +88,13 @@ def _removed(s, d):
 
 
 def _snapshot(s, d):
-    path = _path(s)
+    path = work_path(s)
     Snapshot.write(_vectors(s, d), path, DIM)
     return Snapshot.open(s, path)
 
 
 def _vndb(s, d):
-    root = _path(s)
+    root = work_path(s)
     local = f"{root.removeprefix('file:')}.vndb" if root.startswith("file:/") and not root.startswith("file://") else f"{root}.vndb"
     write_vndb(_vectors(s, d), local, DIM)
     return _named(open_vndb(s, local).search(_query(s, d), K))
@@ -118,7 +114,7 @@ def _graph_join(s, d):
 
 
 def _graph_saved(s, d):
-    path = _path(s)
+    path = work_path(s)
     save_graph(_index(s, d), path)
     index = load_graph(s, path)
     return _named(index.search(_query(s, d), K, _wide(index)))
@@ -138,8 +134,8 @@ def _graph_info(s, d):
 
 def _graph_recall(s, d):
     index = _index(s, d)
-    share = recall(index.search_batch(_queries(s, d), K, 100), _store(s, d).search_batch(_queries(s, d), K))
-    return s.createDataFrame([(share >= 0.8,)], "recall_ok boolean")
+    share = recall(index.search_batch(_queries(s, d), K), _store(s, d).search_batch(_queries(s, d), K))
+    return s.createDataFrame([(share >= 0.9,)], "recall_ok boolean")
 
 
 def _get(of):
@@ -160,6 +156,7 @@ def queries():
     for name, m in METRICS.items():
         q |= {f"distance_{name}": _distance(m), f"knn_{name}": _knn(m), f"knn_join_{name}": _join(m), f"graph_knn_{name}": _graph_knn(m)}
     return q | {
+        "knn_join_expression_l2": _join_expression,
         "inner_product": _inner,
         "distances_bulk": lambda s, d: _named(bulk_distances(_vectors(s, d), _query(s, d), Metric.L2)),
         "knn_k_gt_n": _knn(Metric.L2, 1_000_000),
@@ -221,6 +218,7 @@ def oracle_sql():
         "inner_product": f"SELECT e.vec_id, {_DOT} AS distance FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q",
         "distances_bulk": _all("l2"),
         "knn_k_gt_n": _all("l2"),
+        "knn_join_expression_l2": _join_sql("l2"),
         "store_get": get,
         "snapshot_get": get,
         "graph_get": get,

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from orrery.errors import EngineIOError
 
@@ -14,6 +18,22 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def work_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a local one if all is on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise EngineIOError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or "file://" + os.path.join(tempfile.gettempdir(), "orrery-work")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again."""
+    path = work_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """Written beside the path and renamed, so that it is there whole or not at all."""
     p, fs = _fs(spark, path)

@@ -1,6 +1,7 @@
 """The graph index: recall, batch and serial inserts, save and load, limits, broken tables."""
 
 import json
+import struct
 
 import pytest
 
@@ -8,6 +9,7 @@ from orrery import errors as E
 from orrery.functions.metrics import Metric
 from orrery.operators.graph import GraphConfig, GraphIndex, level_of, recall
 from orrery.operators.store import VectorStore
+from orrery.sources.graph_file import read_graph
 from orrery.sources.snapshot import load_graph, save_graph
 from tests.test_vectors import frame, found
 
@@ -28,6 +30,16 @@ def test_recall_on_the_formula_data(spark, shards):
     assert recall(index.search_batch(q, 10, 100), VectorStore(df, 32).search_batch(q, 10)) >= 0.8
 
 
+def test_recall_at_the_default_beam(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    q = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    index = GraphIndex.build(rows, GraphConfig(64, shards=2)).cached()
+    assert recall(index.search_batch(q, 10), VectorStore(rows, 64).search_batch(q, 10)) >= 0.9
+    plan = index.search([0.0] * 64, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(shard" not in plan.split("InMemoryRelation")[0]  # the kept nodes aren't shuffled
+    index.release()
+
+
 def test_batch_equals_serial_also_after_saving(spark, tmp_path):
     rows = [(i, [((31 * i + 17 * j) % 97) / 97 for j in range(8)]) for i in range(60)]
     config = GraphConfig(8, m=4, ef_construction=30, seed=7)
@@ -75,3 +87,62 @@ def test_broken_index_is_refused(spark, tmp_path):
             load_graph(spark, f"file://{path}")
     with pytest.raises(E.EngineIOError):
         load_graph(spark, f"file://{tmp_path}/none")
+
+
+def numbers(kind, *values):
+    return struct.pack(f"<Q{len(values)}{kind}", len(values), *values)
+
+
+def dump(version=2, magic=b"HNSW", room=2, **changes):
+    """A graph of two rows, (10, [1, 0]) and (20, [0, 1]), in a capacity of four."""
+    p = {"dim": 2, "metric": 0, "capacity": 4, "m": 16, "above": 16, "lowest": 32, "built": 200, "ef": 50, "factor": 0.36, "seed": 42, "n": 2, "entry": 0, "top": 0}
+    p |= {"vectors": [1.0, 0.0, 0.0, 1.0] + [0.0] * (2 * room - 4), "ids": [10, 20] + [0] * (room - 2), "levels": [0] * room, "links": [[[1]], [[0]]] + [[]] * (room - 2), "map": [(20, 1), (10, 0)]} | changes
+    out = magic + struct.pack("<I", version) + struct.pack("<QIQQQQQQdQQ", *list(p.values())[:11])
+    out += b"\0" if p["entry"] is None else struct.pack("<BQ", 1, p["entry"])
+    out += struct.pack("<i", p["top"]) + numbers("f", *p["vectors"]) + numbers("Q", *p["ids"]) + numbers("i", *p["levels"])
+    out += struct.pack("<Q", len(p["links"])) + b"".join(struct.pack("<Q", len(node)) + b"".join(numbers("Q", *x) for x in node) for node in p["links"])
+    return out + struct.pack("<Q", len(p["map"])) + b"".join(struct.pack("<QQ", *x) for x in p["map"])
+
+
+@pytest.mark.parametrize("data", [dump(), dump(version=1, room=4)])
+def test_binary_dump_is_read(spark, tmp_path, data):
+    (tmp_path / "g.bin").write_bytes(data)
+    index = read_graph(spark, str(tmp_path / "g.bin"))
+    assert (len(index), index.config.capacity, index.config.metric, index.get_vector(10)) == (2, 4, Metric.L2, [1.0, 0.0])
+    assert found(index.search([1, 0.1], 1)) == [10]
+    assert found(index.add(30, [0.5, 0.5]).search([0.5, 0.5], 3)) == [30, 10, 20]  # room is left
+    (tmp_path / "none.bin").write_bytes(dump(n=0, entry=None, top=-1, vectors=[], ids=[], levels=[], links=[], map=[]))
+    assert found(read_graph(spark, str(tmp_path / "none.bin")).search([1, 0], 3)) == []
+
+
+@pytest.mark.parametrize(
+    "data,what",
+    [
+        (dump(magic=b"WSNH"), "magic"),
+        (dump(version=999), "version"),
+        (b"HNS", "small"),
+        (dump()[:8] + b"\xff" * 32, "truncated"),
+        (dump()[:-3], "end"),
+        (dump(room=4), "length"),
+        (dump(version=1), "length"),
+        (dump(metric=7), "metric"),
+        (dump(dim=0), "dimension"),
+        (dump(capacity=0), "capacity"),
+        (dump(capacity=1), "capacity"),
+        (dump(top=33), "level"),
+        (dump(top=-1), "entry"),
+        (dump(entry=2), "entry"),
+        (dump(entry=None), "entry"),
+        (dump(map=[(10, 0)]), "map"),
+        (dump(map=[(10, 0), (20, 2)]), "map"),
+        (dump(map=[(10, 0), (21, 1)]), "map"),
+        (dump(links=[[[2]], [[0]]]), "neighbour"),
+        (dump(links=[[[1]] + [[]] * 33, [[0]]]), "levels"),
+        (dump(levels=[1, 0]), "levels"),
+        (dump(ids=[10]), "length"),
+    ],
+)
+def test_broken_binary_dump_is_refused(spark, tmp_path, data, what):
+    (tmp_path / "g.bin").write_bytes(data)
+    with pytest.raises(E.EngineIOError, match=what):
+        read_graph(spark, str(tmp_path / "g.bin"))

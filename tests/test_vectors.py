@@ -109,3 +109,16 @@ def test_join_equals_searches_with_many_ties(spark, metric):
     got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in s.search_batch(q, 15).collect()}
     for j, v in queries:
         assert [got[j, i + 1] for i in range(15)] == [tuple(r) for r in s.search(v, 15).collect()]
+
+
+def test_join_by_expressions_equals_the_bulk_join(spark, monkeypatch):
+    from orrery.operators import bulk
+
+    rows = frame(spark, [(i, [((31 * i + 7 * d) % 50) / 10 for d in range(6)]) for i in range(90)])
+    queries = rows.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    for metric in Metric:
+        one = sorted(map(tuple, bulk.knn_join(queries, rows, 7, metric).collect()))
+        assert one == sorted(map(tuple, bulk.knn_join_expression(queries, rows, 7, metric).collect())) and len(one) == 70
+    monkeypatch.setattr(bulk.in_blocks, "__defaults__", (100,))
+    assert sorted(map(tuple, bulk.knn_join(queries, rows, 7, metric).collect())) == one  # in several blocks
+    assert sorted(map(tuple, bulk.knn_join_expression(queries, rows, 7, metric).collect())) == one
