@@ -216,13 +216,16 @@ def bridges(postings: DataFrame, parts: DataFrame, percent: int, enough: str) ->
     mixed = p.groupBy("lead").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("lead")
     p = p.join(mixed, "lead", "left_semi").distinct()
     p = saved(p.join(postings.groupBy("id").agg(F.collect_list("key").alias("keys")), "id"), "mixed")
-    kc = p.groupBy("lead", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    kc = p.groupBy("lead", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"))
     x, y = kc.alias("x"), kc.alias("y")
     cc = x.join(y, F.expr(f"x.lead = y.lead and x.c < y.c and 100 * least(x.hi, y.hi) >= {percent} * greatest(x.lo, y.lo)"))
-    cc = cc.select("x.lead", F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
+    few, many = F.expr("if(x.m <= y.m, x.c, y.c)"), F.expr("if(x.m <= y.m, y.c, x.c)")
+    cc = cc.select("x.lead", few.alias("ca"), many.alias("cb"))  # those of few members are joined first
     left = p.select(F.col("lead").alias("l"), F.col("c").alias("x"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
     right = p.select(F.col("lead").alias("r"), F.col("c").alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {enough.replace('shared', 'size(array_intersect(ka, kb))')}"
-    out = cc.join(left, F.expr("lead = l and ca = x")).join(right, F.expr(f"lead = r and cb = y and {near}")).select("a", "na", "b", "nb").distinct()
+    out = cc.join(left, F.expr("lead = l and ca = x")).join(right, F.expr(f"lead = r and cb = y and {near}"))
+    one, other = F.struct("a", "na"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"))
+    out = out.select(F.least(one, other).alias("o"), F.greatest(one, other).alias("p")).select("o.a", "o.na", F.col("p.a").alias("b"), F.col("p.na").alias("nb")).distinct()
     out._work_path = p._work_path
     return out
