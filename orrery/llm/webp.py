@@ -1,9 +1,12 @@
-"""Lossless WebP (VP8L): a decoder of the whole format, an encoder of literals, and media columns.
+"""Lossless WebP (VP8L): a decoder of the whole format, an encoder of literals and back-references, and media columns.
 
 The decoder reads prefix codes, back-references and the colour cache, and inverts the predictor,
 cross-colour, subtract-green and palette transforms. Streams whose pixels are literals of one channel (as
 the encoder writes: grey images of 8-bit samples) are decoded many at once: a step looks up 16 bits of
-every stream and takes up to four samples from it.
+every stream and takes up to four samples from it. Samples that repeat themselves are written with
+back-references and a code of their own, and read by the general decoder. The encoder has no use for the other
+tools: text isn't smooth, so that a predictor or cross-colour lengthens it, and grey samples gain nothing from
+a cache of colours.
 
 Numbers not explained below are those of the public WebP lossless bitstream specification.
 """
@@ -399,6 +402,122 @@ def _runs(lengths: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _code_lengths(counts: list[int]) -> list[int]:
+    """Lengths of at most 15 bits of a prefix code for symbols that occur so often."""
+    counts = list(counts)
+    while True:
+        heap = [(c, s, (s,)) for s, c in enumerate(counts) if c]
+        lengths = [0] * len(counts)
+        for _, s, _ in heap[:1]:
+            lengths[s] = int(len(heap) == 1)
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            for s in a[2] + b[2]:
+                lengths[s] += 1
+            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+        if max(lengths) <= 15:
+            return lengths
+        counts = [(c + 1) // 2 for c in counts]
+
+
+def _put_code(w: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
+    """Write a prefix code; returns the bits of each symbol as (code, length)."""
+    used = [s for s, n in enumerate(lengths) if n] or [0]
+    if len(used) <= 2 and used[-1] < 256:
+        w.put(1, 1), w.put(len(used) - 1, 1), w.put(1, 1)
+        for s in used:
+            w.put(s, 8)
+        return {s: (i, len(used) - 1) for i, s in enumerate(used)}
+    runs = _runs(lengths)
+    counts = [0] * 19
+    for k, _, _ in runs:
+        counts[k] += 1
+    kinds = _code_lengths(counts)
+    while max(kinds) > 7:  # three bits tell the length of each
+        counts = [(c + 1) // 2 for c in counts]
+        kinds = _code_lengths(counts)
+    w.put(0, 1), w.put(15, 4)
+    for k in LENGTH_ORDER:
+        w.put(kinds[k], 3)
+    w.put(0, 1)
+    codes = {s: (c, n) for (n, c), s in canonical(kinds).items()} if sum(map(bool, kinds)) > 1 else {k: (0, 0) for k, _, _ in runs}
+    for k, extra, width in runs:
+        w.put(*codes[k])
+        w.put(extra, width)
+    return {s: (c, n) for (n, c), s in canonical(lengths).items()}
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """A length or distance code from 1 on as (symbol, extra bits' value, extra bits)."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    n = v.bit_length() - 1
+    return 2 * n + (v >> n - 1 & 1), v & (1 << n - 1) - 1, n - 1
+
+
+#: Shortest and longest back-reference that is written, and the farthest; distances from 121 on are codes of plain ones.
+SHORTEST, LONGEST, FARTHEST, PLAIN = 16, 4096, (1 << 20) - 200, 120
+
+
+def _repeats(p: bytes) -> list[tuple[int, int]]:
+    """p as literals (-1, sample) and copies (length, distance), found greedily by their first `SHORTEST` samples."""
+    out, known, i, distance = [], {}, 0, 0
+    while i < len(p):
+        key = p[i : i + SHORTEST]
+        j = i - distance if distance and p[i - distance : i - distance + SHORTEST] == key else known.get(key, -1)
+        known[key] = i
+        if j < 0 or i - j > FARTHEST or len(key) < SHORTEST:
+            out.append((-1, p[i]))
+            i += 1
+            continue
+        n, step = SHORTEST, LONGEST
+        while step:
+            if n + step <= min(LONGEST, len(p) - i) and p[j + n : j + n + step] == p[i + n : i + n + step]:
+                n += step
+            else:
+                step >>= 1
+        distance = i - j
+        out.append((n, distance))
+        i += n
+    return out
+
+
+def _with_repeats(p: bytes) -> tuple[bytes, int]:
+    """The bits after an image's sizes, with their number, for grey samples that repeat themselves."""
+    tokens = _repeats(p)
+    green, far = [0] * 280, [0] * 40
+    for n, x in tokens:
+        green[x if n < 0 else 256 + _prefix(n)[0]] += 1
+        if n > 0:
+            far[_prefix(x + PLAIN)[0]] += 1
+    w = BitWriter()
+    w.put(1, 1), w.put(2, 2), w.put(0, 1), w.put(0, 2)  # as in GreyCode: subtract green, no cache, one group
+    first = _put_code(w, _code_lengths(green))
+    for symbol in (0, 0, 255):
+        w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(symbol, 8)
+    second = _put_code(w, _code_lengths(far))
+    parts, held = [], w  # one long number would be shifted again and again
+    for n, x in tokens:
+        if n < 0:
+            held.put(*first[x])
+        else:
+            s, extra, width = _prefix(n)
+            held.put(*first[256 + s])
+            held.put(extra, width)
+            s, extra, width = _prefix(x + PLAIN)
+            held.put(*second[s])
+            held.put(extra, width)
+        if held.n > 4096:
+            whole = held.n >> 3
+            parts.append((held.value & (1 << 8 * whole) - 1).to_bytes(whole, "little"))
+            held.value >>= 8 * whole
+            held.n &= 7
+    total = 8 * sum(map(len, parts)) + held.n
+    return b"".join(parts) + held.bytes(), total
+
+
 class FastTable:
     """For every 16 bits: up to four samples that stand there, how many, and their bits."""
 
@@ -537,12 +656,15 @@ def _text_weights() -> list[float]:
 
 
 CODES = [GreyCode(_text_weights()), GreyCode([1.0] * 256)]
+#: Payloads that a general compressor brings below this share repeat themselves enough to look for back-references.
+REPETITIVE = 0.25
 
 
 def encode_grey(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a positive multiple of 192 bytes) as grey WebP files of 192 columns.
 
-    The shorter of two fixed prefix codes is taken, one for text and one of eight bits for anything else.
+    The shorter of two fixed prefix codes is taken, one for text and one of eight bits for anything else; for
+    payloads that repeat themselves back-references, where they are shorter still.
     """
     pieces, owner = [], []
     for i, p in enumerate(payloads):
@@ -572,9 +694,14 @@ def encode_grey(payloads: list[bytes]) -> list[bytes]:
     for k, i in enumerate(owner):
         c = CODES[choice[k]]
         n = (int(total[k]) + 7) // 8
-        body = bytearray(raw[4 * base[k] : 4 * base[k] + n])
-        h = len(c.header)
-        body[:h] = (int.from_bytes(body[:h], "little") | int.from_bytes(c.header, "little")).to_bytes(h, "little")
+        piece = pieces[k].tobytes()
+        bits = _with_repeats(piece)[0] if len(zlib.compress(piece, 1)) < REPETITIVE * len(piece) else b""
+        if bits and len(bits) < n:
+            body = bytearray(bits)
+        else:
+            body = bytearray(raw[4 * base[k] : 4 * base[k] + n])
+            h = len(c.header)
+            body[:h] = (int.from_bytes(body[:h], "little") | int.from_bytes(c.header, "little")).to_bytes(h, "little")
         rows = sizes[k] // WIDTH
         data = b"\x2f" + (WIDTH - 1 | int(rows - 1) << 14).to_bytes(4, "little") + bytes(body)
         pad = b"\0" * (len(data) & 1)

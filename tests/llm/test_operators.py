@@ -397,6 +397,32 @@ def test_webp_round_trip_and_transforms(spark, odd, none):
     assert webp.from_media(webp.to_media(none)).count() == 0
 
 
+def test_webp_back_references_of_the_encoder():
+    rng = np.random.default_rng(6)
+    line = bytes(rng.integers(97, 123, 150, dtype=np.uint8)) + b"\n"
+    random = bytes(rng.integers(0, 256, 700, dtype=np.uint8))
+    payloads = [b"=" * 192, b" " * 3840, line * 40, (line + b"x" * 9) * 300 + random, random * 30, b"ab" * 4000, line * 9000, random]
+    payloads = [p + b" " * (-len(p) % 192) for p in payloads]
+    media = webp.encode_grey(payloads)
+    assert webp.decode_grey(media) == payloads
+    general = [any(webp._literal(x) is None for x in webp.images(m)) for m in media]
+    assert general[1:7] == [True] * 6 and not general[7] and all(len(m) < len(p) / 4 for m, p in zip(media[1:4], payloads[1:4], strict=True))
+    for p in payloads[:6]:
+        tokens = webp._repeats(p)
+        out = bytearray()
+        for n, x in tokens:
+            out += bytes([x]) if n < 0 else b""
+            for _ in range(max(n, 0)):
+                out.append(out[-x])
+        assert bytes(out) == p and all(n < 0 or 16 <= n <= 4096 for n, _ in tokens)
+    for v in (*range(1, 70), 4096, 1 << 20):
+        symbol, extra, width = webp._prefix(v)
+        w = webp.BitWriter()
+        w.put(extra, width), w.put(0, 8)
+        assert webp._value(symbol, webp.Bits(w.bytes())) == v
+    assert max(webp._code_lengths([2**i for i in range(40)])) <= 15
+
+
 def simple(w, *symbols):
     """A prefix code of one or two symbols."""
     w.put(1, 1), w.put(len(symbols) - 1, 1), w.put(1, 1)
@@ -535,6 +561,9 @@ def test_licenses(odd, none):
     assert [x[:2] for x in scanner.scan("x y " + mit)] == [("MIT", 1.0)]
     got = scanner.scan("the software and the rights " + mit.replace("charge", "cost") + " Released under the MIT License.")
     assert got[0][0] == "MIT" and 0.98 < got[0][1] < 1
+    for name, whole in (("MIT", -1), ("ISC", -1), ("BSD-3-Clause", -1), ("BSD-2-Clause", 0)):  # whole licences, one of them in another's clothes
+        text = licenses.TEMPLATES[name][whole]
+        assert [(x[0], x[2]) for x in scanner.scan(f"Copyright 2020 someone {text} def f(): pass")] == [(name, len(licenses.words_of(text)))]
     assert [x[0] for x in scanner.scan("Licensed under CC BY-NC 4.0.")] == ["CC-BY-NC-4.0"]
     assert scanner.scan("the software is as it is, under the terms of no one") == []
     for a, b in (("abcbdab", "bdcaba"), ("xaybzc", "abc"), ("", "a"), ("aaaa", "aa")):
