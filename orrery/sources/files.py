@@ -57,6 +57,13 @@ def read_json(spark: SparkSession, path: str) -> dict:
         raise EngineIOError(f"{path} is not valid") from e
 
 
+def read_all_json(spark: SparkSession, pattern: str) -> list[dict]:
+    """The values of all files that the pattern matches, in any order."""
+    p, fs = _fs(spark, pattern)
+    paths = [f.getPath().toString() for f in fs.globStatus(p) or []]
+    return [json.loads(r[0]) for r in spark.read.text(paths, wholetext=True).collect()] if paths else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = _fs(spark, path)
     fs.delete(p, True)

@@ -76,6 +76,12 @@ def test_levels():
     assert 0.05 < sum(x >= 1 for x in drawn) / len(drawn) < 0.075 and max(drawn) <= 7
 
 
+def test_levels_of_an_index_follow_the_rule(spark):
+    rows = GraphIndex.build(frame(spark, base(200, 4)), GraphConfig(4, m=3, shards=2, seed=5)).nodes.collect()
+    assert all(r["level"] == level_of(5, r["ordinal"], 3) == len(r["neighbors"]) - 1 for r in rows) and len({r["level"] for r in rows}) > 2
+    assert sorted((r["shard"], r["ordinal"]) for r in rows) == [(s, i) for s in (0, 1) for i in range(sum(r["shard"] == s for r in rows))]
+
+
 def test_broken_index_is_refused(spark, tmp_path):
     path = f"{tmp_path}/g"
     save_graph(GraphIndex.build(frame(spark, base(20, 4)), GraphConfig(4)), f"file://{path}")

@@ -48,4 +48,6 @@ def test_stream_sink_adds_batches_once(spark, tmp_path):
     assert len(sink.latest(spark, 2)) == 3
     with pytest.raises(E.DuplicateId):
         sink(frame(spark, ROWS[:1]), 2)
-    assert len(sink.latest(spark, 3)) == 3
+    assert len(sink.latest(spark, 3)) == 3 and found(sink.latest(spark, 3).search([9, 9, 9], 1)) == [30]
+    assert len(sink.latest(spark, 1)) == 2 and sink.latest(spark, 0) is None
+    assert len([p for p in (tmp_path / "st").iterdir() if p.name.startswith("segment-")]) == 2  # earlier batches aren't written again
