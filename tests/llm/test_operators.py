@@ -385,7 +385,8 @@ def test_webp_round_trip_and_transforms(spark, odd, none):
     for cut in (1, 2, 8, 60):  # in a batch, of streams of all lengths, the last one too
         for k in (0, 5, len(media) - 1):
             riff = bytearray(media[k])
-            n = int.from_bytes(riff[16:20], "little") - cut
+            if (n := int.from_bytes(riff[16:20], "little") - cut) < 8:
+                continue
             short = bytes(riff[:4]) + (12 + n + (n & 1)).to_bytes(4, "little") + b"WEBPVP8L" + n.to_bytes(4, "little") + bytes(riff[20 : 20 + n]) + b"\0" * (n & 1)
             with pytest.raises(ValueError):
                 webp.decode_grey([*media[:k], short, *media[k + 1 :]])
