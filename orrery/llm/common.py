@@ -207,7 +207,8 @@ def bridges(postings: DataFrame, parts: DataFrame, percent: int, enough: str) ->
     `parts` has (id, component); other ids are their own. `enough` is SQL over na, nb and shared, the number of
     keys that both have. Keys with the same most central id are one group, in which an id stands once: a pair
     is met once a group, not once a key. A group's components are paired first and their members joined on
-    afterwards, so that a group of one large component costs nothing; only pairs with sizes n that a similarity
+    afterwards, so that a group of one large component costs nothing; ids that are a component by themselves are
+    met directly. Only pairs with sizes n that a similarity
     of `percent` allows and with enough shared keys come out. The members of a group that link with nothing else
     in it are still compared with each other, which grows with the square of their number.
     """
@@ -218,13 +219,15 @@ def bridges(postings: DataFrame, parts: DataFrame, percent: int, enough: str) ->
     p = saved(p.join(postings.groupBy("id").agg(F.collect_list("key").alias("keys")), "id"), "mixed")
     kc = p.groupBy("lead", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"))
     x, y = kc.alias("x"), kc.alias("y")
-    cc = x.join(y, F.expr(f"x.lead = y.lead and x.c < y.c and 100 * least(x.hi, y.hi) >= {percent} * greatest(x.lo, y.lo)"))
+    cc = x.join(y, F.expr(f"x.lead = y.lead and x.c < y.c and x.m + y.m > 2 and 100 * least(x.hi, y.hi) >= {percent} * greatest(x.lo, y.lo)"))
     few, many = F.expr("if(x.m <= y.m, x.c, y.c)"), F.expr("if(x.m <= y.m, y.c, x.c)")
-    cc = cc.select("x.lead", few.alias("ca"), many.alias("cb"))  # those of few members are joined first
-    left = p.select(F.col("lead").alias("l"), F.col("c").alias("x"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    right = p.select(F.col("lead").alias("r"), F.col("c").alias("y"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    cc = cc.select("x.lead", few.alias("few"), many.alias("many"))  # those of few members are joined first
+    alone = p.join(kc.where("m = 1").select("lead", "c"), ["lead", "c"], "left_semi")
+    side = lambda df, i: df.select(F.col("lead").alias(f"l{i}"), F.col("c").alias(f"c{i}"), F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("keys").alias(f"k{i}"))
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {enough.replace('shared', 'size(array_intersect(ka, kb))')}"
-    out = cc.join(left, F.expr("lead = l and ca = x")).join(right, F.expr(f"lead = r and cb = y and {near}"))
+    out = cc.join(side(p, "a"), F.expr("lead = la and few = ca")).join(side(p, "b"), F.expr(f"lead = lb and many = cb and {near}"))
+    singles = side(alone, "a").join(side(alone, "b"), F.expr(f"la = lb and a < b and {near}"))
+    out = out.select("a", "na", "b", "nb").unionByName(singles.select("a", "na", "b", "nb"))
     one, other = F.struct("a", "na"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"))
     out = out.select(F.least(one, other).alias("o"), F.greatest(one, other).alias("p")).select("o.a", "o.na", F.col("p.a").alias("b"), F.col("p.na").alias("nb")).distinct()
     out._work_path = p._work_path
