@@ -128,7 +128,7 @@ def _graph_added(s, d):
 
 def _graph_info(s, d):
     info = _index(s, d).info()
-    keys = ("dim", "metric", "m", "m_max", "m_max0", "ef_construction", "ef_search", "seed", "size")
+    keys = ("dim", "metric", "m", "m_max", "m_max0", "ef_construction", "ef_search", "seed", "size", "capacity")
     return s.createDataFrame([tuple(int(info[k]) for k in keys)], ", ".join(f"{k} bigint" for k in keys))
 
 
@@ -234,6 +234,6 @@ def oracle_sql():
         "graph_knn_join_l2": _join_sql("l2"),
         "graph_save_load_knn": _top("l2"),
         "graph_add_batch_knn": _top("l2"),
-        "graph_info": "SELECT 64::BIGINT AS dim, 0::BIGINT AS metric, 16::BIGINT AS m, 16::BIGINT AS m_max, 32::BIGINT AS m_max0, 200::BIGINT AS ef_construction, 50::BIGINT AS ef_search, 42::BIGINT AS seed, count(*) AS size FROM embeddings",
+        "graph_info": "SELECT 64::BIGINT AS dim, 0::BIGINT AS metric, 16::BIGINT AS m, 16::BIGINT AS m_max, 32::BIGINT AS m_max0, 200::BIGINT AS ef_construction, 50::BIGINT AS ef_search, 42::BIGINT AS seed, count(*) AS size, CAST(greatest(100000, 2 * count(*)) AS BIGINT) AS capacity FROM embeddings",
         "graph_recall": "SELECT true AS recall_ok",
     }
