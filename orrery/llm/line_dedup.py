@@ -25,9 +25,10 @@ prefix filter with the position of the match). Variants of one line differ from
 rarely meet. Nothing above the threshold is lost, and buckets with the same centre are worked on as one.
 
 Candidates of the first round whose signatures agree in fewer than `AGREE` bins are passed over (at worst 0.0007
-of the pairs at the threshold), those with a short line or one of few values never. All others are verified by the exact Jaccard similarity of their shingles, made anew from the two lines'
-text: moving text instead of sets moves an eighth of the bytes. Links become components by distributed
-union-find; the least (doc_id, position) of a component keeps its line.
+of the pairs at the threshold), those with a short line or one of few values never. All others are verified by
+the exact Jaccard similarity of their shingles, made anew from the two lines' text: moving text instead of sets
+moves an eighth of the bytes. Links become components by distributed union-find; the least (doc_id, position) of
+a component keeps its line.
 """
 
 from __future__ import annotations
