@@ -176,13 +176,16 @@ def _unconnected(apart: DataFrame, sets: DataFrame, percent: int, of: Callable[[
     least = F.when(F.col("linked"), (more * F.col("nd") + less * (F.col("ln") - F.col("n"))) / (2.0 * more)).otherwise(F.col("nd") - less * F.col("n") / F.lit(float(percent)))
     kept = F.greatest(F.lit(0).cast("long"), F.col("nd") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1).cast("int")
     lines = saved(d.select("lead", "id", "n", "c", "nd", (F.col("nd") - kept).alias("rest"), F.slice("d", F.lit(1), kept).alias("d")), "line-edits")
-    edits = lines.select("lead", "id", "c", F.posexplode("d").alias("k", "t"), "nd").select("lead", "t", "id", "c", (F.col("nd") - F.col("k")).cast("int").alias("left"))
+    edits = lines.select("lead", "id", "c", F.posexplode("d").alias("k", "t"), "nd", "n")
+    edits = edits.select("lead", "t", "id", "c", "k", (F.col("nd") - F.col("k")).cast("int").alias("left"), F.col("n").cast("int").alias("n"))
     x, y = edits.alias("x"), edits.alias("y")  # alike, so that they are shuffled once
-    met = x.join(y, F.expr("x.lead = y.lead and x.t = y.t and x.id < y.id and x.c <> y.c"))
+    # No pair that may be linked fails these at any member that it shares: sizes, and what lies before and after it.
+    sizes = f"100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n)"
+    room = f"{2 * (100 + percent)}L * (least(x.k, y.k) + least(x.left, y.left)) >= {100 + percent}L * (x.k + x.left + y.k + y.left) - {100 - percent}L * (x.n + y.n)"
+    met = x.join(y, F.expr(f"x.lead = y.lead and x.t = y.t and x.id < y.id and x.c <> y.c and {sizes} and {room}"))
     met = met.groupBy(F.col("x.lead").alias("lead"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.max(F.least("x.left", "y.left")).alias("left"), F.count("*").alias("met"))
     side = lambda z: lines.select("lead", F.col("id").alias(z), *[F.col(c).alias(f"{c}_{z}") for c in ("n", "nd", "rest")])
     pairs = met.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"])
-    pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     most = F.least("left", F.col("met") + F.greatest("rest_a", "rest_b"))
     out = pairs.where(2 * more * most >= more * (F.col("nd_a") + F.col("nd_b")) - less * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
     out._work_path = lines._work_path
