@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, fingerprint, licenses, line_dedup, mixing, ngram_join, quality, sharding, warc, webp
-from orrery.llm.common import components, work_path
+from orrery.llm.common import components, saved, work_path
 from tests.llm.conftest import LONG, ROWS
 
 SF = "/root/testdata/sf0.001"
@@ -372,6 +373,21 @@ def test_line_dedup_second_round_loses_no_link(spark):
     assert links and links <= got and len(got) < len(between) / 4
 
 
+def test_saved_leaves_no_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(held.size()) if (n := held.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    out = saved(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "cleanup")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_webp_round_trip_and_transforms(spark, odd, none):
     payloads = [(r[1] or "").encode() for r in ROWS] + [bytes(range(256)) * 3, b"\xff" * 192]
     payloads = [p + b" " * ((-len(p)) % 192 if p else 192) for p in payloads] * 3
