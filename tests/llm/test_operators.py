@@ -373,6 +373,19 @@ def test_line_dedup_second_round_loses_no_link(spark):
     assert links and links <= got and len(got) < len(between) / 4
 
 
+def test_line_dedup_second_round_lets_out_what_may_be_linked_only(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(map(chr, rng.integers(97, 107, 4))) for _ in range(200)]  # unrelated lines share many runs
+    lines = [" ".join(rng.choice(words, 60)) for _ in range(60)]
+    lines += [x[:150] + "#" + x[151:] for x in lines[:20]] + ["ab", "abc", "中文" * 40, "中文" * 39 + "字", "😀" * 30 + "x", "😀" * 31 + "x"]
+    sets = [{x[i : i + 4] for i in range(max(1, len(x) - 3))} for x in lines]
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    apart = spark.createDataFrame([(-1, i, 0 if i < 10 else i) for i in range(len(lines))], "lead long, id long, c long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, s string")
+    got = {(r["a"], r["b"]) for r in line_dedup._unconnected(apart, texts, 80, lambda s: line_dedup._grams(s, 4)).collect()}
+    assert len(links) >= 21 and {(i, j) for i, j in links if j >= 10} <= got and all(j >= 60 for _, j in got)
+
+
 def test_saved_leaves_no_shuffle_files(spark):
     def files():
         held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
