@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from orrery.llm.common import bounded_batches, table, utf8
+from orrery.llm.common import bounded_batches, frees, table, utf8
 
 LOCKSTEP = 64
 #: Pieces that a worker remembers, and bytes of text that it splits at once.
@@ -66,8 +66,7 @@ class BytePairEncoder:
         new = set(chain.from_iterable(split)).difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                self.decoded.clear()
+                self.forget()
                 new = set(chain.from_iterable(split))
             new = sorted(new)
             for piece, ids in zip(new, self._encode_pieces([p.encode() for p in new]), strict=True):
@@ -75,6 +74,10 @@ class BytePairEncoder:
                 self.decoded[name] = b"".join(map(self.tokens.__getitem__, ids))
         return [list(map(self.known.__getitem__, p)) for p in split]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.decoded.clear()
+
     def decode_pieces(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.decoded.__getitem__, pieces))
 
@@ -222,7 +225,7 @@ _ENCODERS: dict[bytes, BytePairEncoder] = {}
 
 
 def _encoder(data: bytes, pattern: str) -> BytePairEncoder:
-    """One encoder per worker process, kept between tasks."""
+    """One encoder per worker process, kept between tasks (without the pieces met)."""
     key = hashlib.sha256(data + pattern.encode()).digest()
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -230,6 +233,12 @@ def _encoder(data: bytes, pattern: str) -> BytePairEncoder:
     return _ENCODERS[key]
 
 
+def _forget() -> None:
+    """Drop the pieces met; a worker waits beside later stages with the ranks only."""
+    for bpe in _ENCODERS.values():
+        bpe.forget()
+
+
 def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """docs' columns but text, with n_tokens, ids_sha256, decoded_sha256 and, if asked, ids (columns of these names go).
 
@@ -245,6 +254,12 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = True
     base = docs.select(*own, utf8("text").alias("__text"))
 
     def run(batches):
+        try:
+            yield from encoded(batches)
+        finally:
+            _forget()
+
+    def encoded(batches):
         for batch in batches:
             bpe = _encoder(*shared.value)
             texts = [t.decode("utf-8", "replace") for t in batch.column(len(own)).to_pylist()]
@@ -268,7 +283,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = True
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*own, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
     added = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), *[("ids", T.ArrayType(T.IntegerType()))] * keep_ids]
-    return base.mapInArrow(run, T.StructType([*base.drop("__text").schema.fields, *(T.StructField(*x) for x in added)]))
+    return base.mapInArrow(frees(run), T.StructType([*base.drop("__text").schema.fields, *(T.StructField(*x) for x in added)]))
 
 
 def public_ranks() -> tuple[str, str]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bounded_batches, bridges, byte_slices, components, discard, leads, mix, saved, shingle_sets, utf8
+from orrery.llm.common import bounded_batches, bridges, byte_slices, components, discard, frees, leads, mix, saved, shingle_sets, utf8
 
 #: Entries of the list of frequent n-grams (16 bytes each), whatever the corpus.
 FREQUENT = 1 << 18
@@ -150,14 +150,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    stats = saved(texts.mapInArrow(_stats(words), "kind int, doc_id long, text_hash long, n long, cid long"), "ngram-stats")
+    stats = saved(texts.mapInArrow(frees(_stats(words)), "kind int, doc_id long, text_hash long, n long, cid long"), "ngram-stats")
     members = stats.where("kind = 0").select("doc_id", "text_hash", "n", "cid")
     top = stats.where("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cid").limit(FREQUENT).toPandas()
     hashes = top["cid"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hashes)
     often = spark.sparkContext.broadcast((hashes[by], top["n"].to_numpy(np.int64)[by]))
 
-    posts = saved(texts.mapInArrow(_postings(words, percent, often), "key long, id long, n long"), "ngram-postings")
+    posts = saved(texts.mapInArrow(frees(_postings(words, percent, often)), "key long, id long, n long"), "ngram-postings")
     shared = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     live = saved(posts.join(shared, "key", "left_semi").distinct(), "ngram-live")
     discard(posts)
@@ -171,7 +171,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         reps = members.join(inside, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
         slots = np.zeros(SLOTS, bool)
         slots[reps.select(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SLOTS)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-        segments = texts.mapInArrow(_segments(words, often, spark.sparkContext.broadcast(slots)), "id long, fragment int, members array<long>")
+        segments = texts.mapInArrow(frees(_segments(words, often, spark.sparkContext.broadcast(slots))), "id long, fragment int, members array<long>")
         segments = saved(segments.join(inside.withColumnRenamed("cid", "id"), "id", "left_semi").dropDuplicates(["id", "fragment"]), "ngram-segments")
         left = segments.select(F.col("id").alias("a"), "fragment", F.col("members").alias("x"))
         right = segments.select(F.col("id").alias("b"), "fragment", F.col("members").alias("y"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import bounded_batches, byte_slices, table, utf8
+from orrery.llm.common import bounded_batches, byte_slices, frees, table, utf8
 
 WIDTH, FILTERS, BLOCK = 4, 16, 512
 SAMPLE, SAMPLE_BYTES = 700, 32 * 512
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: ByteCNN, threshold: float = 0.3) -> DataFrame:
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return base.mapInArrow(frees(run), T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def text_hash():

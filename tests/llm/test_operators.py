@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, fingerprint, licenses, line_dedup, mixing, ngram_join, quality, sharding, warc, webp
+from orrery.llm import bpe, common, fingerprint, licenses, line_dedup, mixing, ngram_join, quality, sharding, warc, webp
 from orrery.llm.common import components, saved, work_path
 from tests.llm.conftest import LONG, ROWS
 
@@ -678,6 +679,29 @@ def test_bpe_equals_tiktoken(odd, none, docs):
     assert bpe.encode(none, path, pattern).count() == 0
 
 
+def test_workers_keep_no_pieces_between_tasks(spark):
+    docs = spark.createDataFrame([(i, f"piece{i} of text{i}") for i in range(200)], "doc_id bigint, text string").coalesce(1)
+    assert bpe.encode(docs, *bpe.public_ranks()).count() == 200
+
+    def held(batches):
+        for batch in batches:
+            n = [sum(len(e.known) + len(e.decoded) for e in bpe._ENCODERS.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([len(bpe._ENCODERS)], pa.int64())], names=["n", "encoders"])
+
+    found = spark.range(64, numPartitions=16).mapInArrow(held, "n long, encoders long").collect()
+    assert any(r["encoders"] for r in found) and not any(r["n"] for r in found)
+
+
+def test_workers_release_memory_when_a_task_ends_or_is_cut_short(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.frees(lambda batches: iter(batches))([1, 2])) == [1, 2] and len(calls) == 1
+    cut = common.frees(lambda batches: iter(batches))([1, 2])
+    assert next(cut) == 1 and len(calls) == 1
+    cut.close()
+    assert len(calls) == 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
