@@ -387,6 +387,26 @@ def test_line_dedup_second_round_lets_out_what_may_be_linked_only(spark):
     assert len(links) >= 21 and {(i, j) for i, j in links if j >= 10} <= got and all(j >= 60 for _, j in got)
 
 
+def test_line_dedup_second_round_tells_long_lines_apart_that_share_much(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(97, 123, 800)
+    lines = []
+    for i in range(40):  # edits far apart, of which two lines share few: similarities of 0.6 to 0.77, and two links
+        at = rng.choice(200, 15 + i % 6, replace=False) * 4
+        line = base.copy()
+        line[at] = rng.integers(65, 91, len(at))
+        lines.append("".join(map(chr, line)))
+    lines += [lines[0] + " and a tail", "x" + lines[1]]
+    sets = [{x[i : i + 4] for i in range(len(x) - 3)} for x in lines]
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(sets)) for i in range(j)}
+    apart = spark.createDataFrame([(-1, i, i) for i in range(len(lines))], "lead long, id long, c long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, s string")
+    got = {(r["a"], r["b"]) for r in line_dedup._unconnected(apart, texts, 80, lambda s: line_dedup._grams(s, 4)).collect()}
+    links = {k for k, x in like.items() if x >= 0.8}
+    assert links and links <= got
+    assert sum(x < 0.76 for x in like.values()) > 300 and not any(like[k] < 0.76 for k in got)
+
+
 def test_saved_leaves_no_shuffle_files(spark):
     def files():
         held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
