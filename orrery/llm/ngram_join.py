@@ -114,6 +114,17 @@ def _postings(words, percent, often):
     return run
 
 
+def _live(posts: DataFrame) -> DataFrame:
+    """The distinct postings (key, id, n) whose key two classes share.
+
+    Most keys have one posting, so partial sums would be as large as the postings: these move once, and both
+    sides of the join read the same shuffle. That takes the same columns on both: n, never negative, stands in the filter.
+    """
+    dealt = posts.repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("n")).where("lo <> hi and n >= 0").select("key")
+    return dealt.join(shared, "key").distinct()  # a semi-join would be pushed under the deal, which then isn't shared
+
+
 _SEGMENTS = pa.schema([("id", pa.int64()), ("fragment", pa.int32()), ("members", pa.list_(pa.int64()))])
 
 
@@ -158,8 +169,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     often = spark.sparkContext.broadcast((hashes[by], top["n"].to_numpy(np.int64)[by]))
 
     posts = saved(texts.mapInArrow(frees(_postings(words, percent, often)), "key long, id long, n long"), "ngram-postings")
-    shared = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    live = saved(posts.join(shared, "key", "left_semi").distinct(), "ngram-live")
+    live = saved(_live(posts), "ngram-live")
     discard(posts)
 
     prefix = lambda n: n - F.ceil(n * percent / 100.0 - 1e-9) + 1

@@ -66,6 +66,21 @@ def test_ngram_join_equals_brute_force_with_a_hub(spark, odd, none):
     assert kept == Counter([0, 2, 3, 4, 5, None, 7, 8])
 
 
+def test_ngram_join_moves_its_postings_once(spark, tmp_path):
+    rows = [(k, i, 5) for k in range(50) for i in range(k % 3 + 1)] * 2
+    spark.createDataFrame(rows, "key long, id long, n long").write.parquet(f"{tmp_path}/posts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        live = ngram_join._live(spark.read.parquet(f"{tmp_path}/posts"))
+        got = sorted(map(tuple, live.collect()))
+        plan = live._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted({r for r in rows if r[0] % 3})
+    moved = [x for x in plan.splitlines() if re.match(r"[ :+-]*Exchange ", x)]
+    assert len(moved) == 1 and "ReusedExchange" in plan
+
+
 def test_ngram_join_with_several_hubs_in_a_bucket(spark):
     rng = np.random.default_rng(4)
     shared = [f"s{i}" for i in range(90)]  # a passage in every text: all meet in the same buckets
