@@ -422,6 +422,28 @@ def test_line_dedup_second_round_tells_long_lines_apart_that_share_much(spark):
     assert sum(x < 0.76 for x in like.values()) > 300 and not any(like[k] < 0.76 for k in got)
 
 
+def test_line_dedup_splits_documents_once_and_makes_nothing_anew_in_lambdas(spark, monkeypatch):
+    plans, kept = [], line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, name))[1])
+    line = "a line that is long enough to have runs, number "
+    docs = spark.createDataFrame([(i, f"{line}{i}\nthe other one of a document, unlike the first: {i}") for i in range(12)], "doc_id bigint, text string")
+    assert line_dedup.duplicate_lines(docs).count() == 22
+    assert sum("split(" in plan for plan in plans) == 1
+
+    def inside(e, lambdas=()):
+        name = e.nodeName()
+        out = [name] if lambdas else []
+        for i in range(e.children().size()):
+            out += inside(e.children().apply(i), (*lambdas, name) if name == "LambdaFunction" else lambdas)
+        return out
+
+    df = spark.createDataFrame([(1, [1, 2, 3, 4], 4)], "id bigint, s array<bigint>, n int").withColumn("line", F.lit("abcdef"))
+    project = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().expressions().apply(0)
+    shingles, bands = inside(project(line_dedup._shingles("line"))), inside(project(line_dedup._bands("s", "n", 80)))
+    assert "XxHash64" in shingles and "XxHash64" in bands  # hashes are made in lambdas
+    assert "ArrayDistinct" not in shingles and "Concat" not in bands
+
+
 def test_saved_leaves_no_shuffle_files(spark):
     def files():
         held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
