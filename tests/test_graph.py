@@ -9,6 +9,7 @@ from orrery import errors as E
 from orrery.functions.metrics import Metric
 from orrery.operators.graph import GraphConfig, GraphIndex, level_of, recall
 from orrery.operators.store import VectorStore
+from orrery.plans import registry
 from orrery.sources.graph_file import read_graph
 from orrery.sources.snapshot import load_graph, save_graph
 from tests.test_vectors import frame, found
@@ -152,3 +153,10 @@ def test_broken_binary_dump_is_refused(spark, tmp_path, data, what):
     (tmp_path / "g.bin").write_bytes(data)
     with pytest.raises(E.EngineIOError, match=what):
         read_graph(spark, str(tmp_path / "g.bin"))
+
+
+def test_an_index_that_grows_is_sized_for_all_rows(spark, monkeypatch):
+    sized, shards_for = [], GraphIndex.shards_for
+    monkeypatch.setattr(GraphIndex, "shards_for", staticmethod(lambda n: sized.append(n) or shards_for(n)))
+    assert registry.queries()["graph_add_batch_knn"](spark, "/root/testdata/sf0.01").count() == 10
+    assert sized == [500]
