@@ -122,3 +122,29 @@ def test_join_by_expressions_equals_the_bulk_join(spark, monkeypatch):
     monkeypatch.setattr(bulk.in_blocks, "__defaults__", (100,))
     assert sorted(map(tuple, bulk.knn_join(queries, rows, 7, metric).collect())) == one  # in several blocks
     assert sorted(map(tuple, bulk.knn_join_expression(queries, rows, 7, metric).collect())) == one
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_memory_of_the_bulk_join_is_bounded(metric):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from orrery.operators import bulk
+
+    v = np.random.default_rng(1).normal(size=(8000, 8)).astype(np.float32)
+    v[100:600], v[7000] = v[5], np.nan
+    batch = pa.record_batch({"id": np.arange(len(v)), "vector": pa.array(list(v), pa.list_(pa.float32()))})
+    q = v[:4096].astype(float)
+    tracemalloc.start()
+    found = pa.Table.from_batches(bulk._best(metric, SimpleNamespace(value=np.arange(len(q))), SimpleNamespace(value=q), 3)([batch]))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 250  # a whole part against all queries: 134 MB for each step of its distances
+    for i in (0, 5, 101, 4095):
+        d = M.distances(metric, q[i], v)
+        want = np.lexsort((np.arange(len(v)), d))[:3]
+        mine = found.filter(pc.field("query_id") == i)
+        assert mine["id"].to_pylist() == want.tolist() and mine["distance"].to_pylist() == d[want].tolist()
