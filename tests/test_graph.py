@@ -3,11 +3,13 @@
 import json
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery import errors as E
 from orrery.functions.metrics import Metric
-from orrery.operators.graph import GraphConfig, GraphIndex, level_of, recall
+from orrery.operators.graph import GraphConfig, GraphIndex, ProximityGraph, level_of, recall
 from orrery.operators.store import VectorStore
 from orrery.plans import registry
 from orrery.sources.graph_file import read_graph
@@ -155,6 +157,63 @@ def test_broken_binary_dump_is_refused(spark, tmp_path, data, what):
         read_graph(spark, str(tmp_path / "g.bin"))
 
 
+def clustered(n, dim=8):
+    """Vectors in clusters, and copies of one."""
+    rng = np.random.default_rng(3)
+    v = (rng.normal(size=(20, dim))[rng.integers(0, 20, n)] * 5 + rng.normal(size=(n, dim))).astype(np.float32).astype(float)
+    v[rng.random(n) < 0.3] = v[0]
+    return v
+
+
+def whole(n, metric=Metric.L2, **config):
+    g = ProximityGraph(GraphConfig(8, metric, **config).checked(), n)
+    g.extend(range(n), clustered(n))
+    return g
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_every_node_is_reached_and_links_are_bounded(metric):
+    g = whole(900, metric, m=4, ef_construction=20)
+    for start in (0, g.entry, 899):
+        seen, todo = {start}, [start]
+        while todo:
+            fresh = set(g.links[todo.pop()][0]) - seen
+            seen |= fresh
+            todo += fresh
+        assert len(seen) == 900
+    assert max(len(x[0]) for x in g.links) <= 8 and all(len(y) <= 4 for x in g.links for y in x[1:])
+
+
+def test_one_batch_equals_several_with_copies():
+    v, one = clustered(300), whole(300, m=4, ef_construction=20)
+    g = ProximityGraph(one.c, 300)
+    g.extend(range(130), v[:130])
+    g = ProximityGraph.load(one.c, g.rows(0), 170)
+    g.extend(range(130, 290), v[130:290])
+    for i in range(290, 300):
+        g.extend([i], v[i : i + 1])
+    assert g.links == one.links and (g.entry, g.top) == (one.entry, one.top)
+
+
+def test_a_beam_as_wide_as_the_graph_is_the_same_all_at_once():
+    g = whole(200, m=4, ef_construction=20)
+    for cut in (False, True):
+        if cut:  # parts, as in a dump: no link from the first half to the second
+            g.links = [[[y for y in level if y < 100 or node >= 100] for level in x] for node, x in enumerate(g.links)]
+        place, ids, d = g.search_all(clustered(200)[:40] + 0.01, 7)
+        for i, q in enumerate(clustered(200)[:40] + 0.01):
+            assert list(zip(ids[place == i].tolist(), d[place == i].tolist(), strict=True)) == g.search(q, 7, 200)
+
+
+def test_every_shard_has_its_task_and_a_wide_join_is_exact(spark):
+    rows = frame(spark, list(enumerate(clustered(200).tolist())))
+    index = GraphIndex.build(rows, GraphConfig(8, shards=3)).cached()
+    assert index.nodes.select("shard", F.spark_partition_id().alias("task")).distinct().agg(F.countDistinct("shard"), F.countDistinct("task")).first() == (3, 3)
+    q = rows.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    assert sorted(map(tuple, index.search_batch(q, 5, 200).collect())) == sorted(map(tuple, VectorStore(rows, 8).search_batch(q, 5).collect()))
+    index.release()
+
+
 def test_an_index_that_grows_is_sized_for_all_rows(spark, monkeypatch):
     sized, shards_for = [], GraphIndex.shards_for
     monkeypatch.setattr(GraphIndex, "shards_for", staticmethod(lambda n: sized.append(n) or shards_for(n)))
