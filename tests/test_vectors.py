@@ -124,6 +124,21 @@ def test_join_by_expressions_equals_the_bulk_join(spark, monkeypatch):
     assert sorted(map(tuple, bulk.knn_join_expression(queries, rows, 7, metric).collect())) == one
 
 
+def test_join_by_expressions_is_compiled_and_sorts_few_pairs(spark, monkeypatch):
+    from orrery.operators import bulk
+
+    rows = frame(spark, [(i, [((31 * i + 7 * d) % 53) / 10 for d in range(6)]) for i in range(300)] + [(900 + i, [0.0] * 6) for i in range(20)])
+    queries = rows.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(bulk, "FEW", 2, raising=False)  # in several passes
+    for metric in Metric:
+        got = bulk.knn_join_expression(queries, rows, 7, metric)
+        joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join Inner" in x]
+        assert joins and all("bound" in x and "lambda" not in x for x in joins)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bulk.knn_join(queries, rows, 7, metric).collect()))
+    monkeypatch.setattr(bulk, "MOST_UNROLLED", 5, raising=False)  # as arrays
+    assert sorted(map(tuple, bulk.knn_join_expression(queries, rows, 7, metric).collect())) == sorted(map(tuple, got.collect()))
+
+
 @pytest.mark.parametrize("metric", list(Metric))
 def test_memory_of_the_bulk_join_is_bounded(metric):
     import tracemalloc
